@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import mixing, sharding
+from loomlog.llm import exact_dedup, mixing, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
@@ -22,8 +22,16 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir)).drop("candidates")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mix_sources, op10_shard)}
+    return {f.__name__: f for f in (op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
