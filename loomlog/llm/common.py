@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one window partition of a two-level rank or prefix sum is meant to hold.
-RANK_ROWS = 4096
+RANK_ROWS = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

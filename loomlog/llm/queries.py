@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, media, mixing, secret_scan, sharding
+from loomlog.llm import exact_dedup, media, mixing, pii, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_counts(pii.pseudonymise(documents(spark, sf_dir)))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir)).drop("error")
 
@@ -35,7 +39,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
+    return {f.__name__: f for f in (op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
