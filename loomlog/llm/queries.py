@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, media, mixing, pii, secret_scan, sharding
+from loomlog.llm import exact_dedup, media, mixing, packing, pii, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
+#: Public tokenizer that op1 and the pipeline's packing use by default.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_counts(pii.pseudonymise(documents(spark, sf_dir)))
 
@@ -39,7 +53,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
+    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
