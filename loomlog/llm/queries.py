@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, media, mixing, packing, pii, secret_scan, sharding
+from loomlog.llm import exact_dedup, langid, media, mixing, packing, pii, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
@@ -37,6 +37,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(rows, langid.fit(docs)).drop("text")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = text_or_empty().cast("binary")
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -53,7 +59,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op10_shard)}
+    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
