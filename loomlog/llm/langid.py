@@ -254,13 +254,13 @@ def fit(docs: DataFrame, per_label: int = 250, seed: int = 0) -> Network:
     return train(texts, labels, seed)
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with lang_pred, score and position_share (positions with the label of the whole); all columns stay.
+def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all) with lang_pred, score and position_share (positions with the label of the whole).
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing could be
     learned (no labelled rows). Clashing columns are replaced; an empty table gives an empty one. No shuffle.
     """
-    rest = docs.drop("lang_pred", "score", "position_share")
-    rows = rest.select(text_or_empty().alias("_text"), *[F.col(c) for c in rest.columns])
+    rest = docs.drop("lang_pred", "score", "position_share") if keep is None else docs.select(*keep)
+    rows = docs.select(text_or_empty().alias("_text"), *[F.col(c) for c in rest.columns])
     fields = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("position_share", T.DoubleType())])
     return rows.mapInArrow(_reader(net), fields)

@@ -40,7 +40,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
-    return langid.predict(rows, langid.fit(docs)).drop("text")
+    return langid.predict(rows, langid.fit(docs), keep=["doc_id", "held_out"])
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
