@@ -48,3 +48,28 @@ def gapless_rank(df: DataFrame, group: str, spread: Column, rows: int, out: str)
     base = df.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(group, "_b").orderBy("_r")
     return df.join(base, [group, "_b"]).withColumn(out, F.col("_base") + F.row_number().over(within) - 1).drop("_r", "_b", "_base")
+
+
+#: A bitmap has this many pieces of 32,768 bits: 2 MB in all, for data of any size.
+BITMAP_PIECES = 512
+
+
+def _bit(hashed: Column) -> tuple[Column, Column]:
+    return F.pmod(hashed, F.lit(BITMAP_PIECES)).cast("int"), F.pmod(F.shiftright(hashed, 9), F.lit(32_768))
+
+
+def bitmap_of(df: DataFrame, hashed: Column) -> DataFrame:
+    """A bit for each 64-bit hash in df, as at most BITMAP_PIECES rows of 4 KB: small enough to broadcast whatever df is."""
+    piece, place = _bit(hashed)
+    return df.select(piece.alias("_piece"), place.alias("_place")).groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+
+
+def may_be_in(df: DataFrame, bitmap: DataFrame, hashed: Column) -> DataFrame:
+    """Rows of df whose bit is set: all whose hash went into the bitmap, and few others while that is sparse.
+
+    It spares a following join the shuffle of rows that find no partner; where the bitmap is full, it spares nothing.
+    """
+    piece, place = _bit(hashed)
+    found = df.withColumns({"_piece": piece, "_place": place}).join(F.broadcast(bitmap), "_piece")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return found.where(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_piece", "_place", "_bits")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, langid, media, mixing, packing, pii, secret_scan, sharding
+from loomlog.llm import exact_dedup, langid, line_dedup, media, mixing, packing, pii, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
@@ -50,6 +50,11 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -59,8 +64,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_shard)}
+    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op6_line_dedup, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.SQL}
