@@ -27,7 +27,7 @@ from loomlog.llm.common import gapless_rank, stable, text_or_empty
 
 END_ID = 1
 #: Words whose ids a worker keeps before it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 
 
 # ---- plan ----
@@ -193,44 +193,57 @@ _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
-class _Words(dict):
-    """Ids by word, as little-endian unsigned 32-bit numbers; looks up what it lacks."""
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+class _Words(dict):
+    """Ids by word; works out what it lacks. When full, it becomes the old generation, from which words in use come back."""
 
-    def whole(self, text: str) -> bytes:
-        ids = array("I", self.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+    def __init__(self, ids) -> None:
+        self.ids, self.old = ids, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
+        found = self[word] = self.old.get(word) or _packed(self.ids(word))
+        return found
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins across words, word by word with a cache.
+    """Ids of whole texts by a byte-level BPE tokenizer that never joins across words, word by word with a cache.
 
     Texts in Latin-1 are put in lower case and split by the tokenizer's rule first, where Python and the tokenizer
-    agree, so that the cache holds less. Other texts are split at white space alone, and a text with anything that
-    splitting could change is encoded whole.
+    agree, so that the cache holds less and only the merges are left to the tokenizer. Other texts are split at
+    white space alone, and a text with anything that splitting could change is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.words = _Words(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # how the tokenizer writes the bytes of a character before merging
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelling = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0x100)}
+        merge = self.tokenizer.model.tokenize
+        self.words = _Words(lambda word: [t.id for t in merge(word if word.isascii() and word.isprintable() else word.translate(spelling))])
+        self.chunks = _Words(self._whole)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if "<|" in text or _ODD.search(text):
-            return self.words.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split() if _BEYOND_LATIN1.search(text) else _PARTS.findall(text.lower())))
+            return _packed(self._whole(text))
+        if _BEYOND_LATIN1.search(text):
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, _PARTS.findall(text.lower())))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
