@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, langid, line_dedup, media, mixing, packing, pii, secret_scan, sharding
+from loomlog.llm import exact_dedup, langid, line_dedup, media, mixing, ngram_join, packing, pii, secret_scan, sharding
 from loomlog.llm.common import documents, text_or_empty
 
 
@@ -29,6 +29,10 @@ def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_counts(pii.pseudonymise(documents(spark, sf_dir)))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(documents(spark, sf_dir)).drop("t")
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir)).drop("error")
 
@@ -64,7 +68,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op4_jpeg_media, op5_mix_sources, op6_line_dedup, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_shard)}
+    return {f.__name__: f for f in (op1_pack, op2_pii_feistel, op3_ngram_join, op4_jpeg_media, op5_mix_sources, op6_line_dedup, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
