@@ -109,7 +109,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = copies.groupBy("doc_id", "_key").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "_gone")
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_key"] == gone["_k"]), "left")
-    parts = F.split("text", "\n", -1)
+    # its own column: inside the functions below it would be split again for each line
+    joined = joined.withColumn("_parts", F.split("text", "\n", -1))
+    parts = F.col("_parts")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     joined = joined.withColumns({
@@ -117,7 +119,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter),
     })
-    return joined.drop("_key", "_doc", "_k", "_gone")
+    return joined.drop("_key", "_doc", "_k", "_gone", "_parts")
 
 
 #: DuckDB's version of what op6 returns: candidates by shared halves, verified by edit distance.
