@@ -16,14 +16,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and read it back: it no longer changes when tasks are run again.
-
-    The folder is that of spark.checkpoint.dir; only where none is set (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; only where none is set (tests) a temporary one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-"))
+    return sc.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: it no longer changes when tasks are run again, and lineage ends."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -88,5 +88,5 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """What mix() needs of documents: doc_id, source, size in words, quality weight."""
-    return docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), quality_weight(text_or_empty()).alias("weight"))
+    """What mix() needs of documents: doc_id, source, size in words, quality weight, and text_key, a hash of the text."""
+    return docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), quality_weight(text_or_empty()).alias("weight"), F.xxhash64("text").alias("text_key"))
