@@ -1,15 +1,264 @@
-"""The catalogue of registered change-log queries and their SQL twins."""
+"""The catalogue of registered change-log queries. Their SQL twins are in sql.py."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlog import schemas
+from loomlog.functions import binary, hashing
+from loomlog.operators import cluster, layout, merge, metrics, oplog, state
+from loomlog.plans import bridge, sql
+from loomlog.sources import codec
+from loomlog.sources.table import ChangeLog
+from loomlog.streaming import state as streams
+
+SEGMENT_BYTES = 4096
+RATE = 50_000
+
+
+def q01_put_validation(spark: SparkSession, d: str) -> DataFrame:
+    ops = bridge.ops_validate(spark, d)
+    return ops.select("seq", oplog.put_status(F.col("key"), F.col("value")).alias("status"))
+
+
+def q02_effective_log(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.effective(bridge.ops(spark, d)).select("seq", "op", "key", "value")
+
+
+def q03_key_versions(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.with_versions(oplog.effective(bridge.ops(spark, d))).select("seq", "key", "version")
+
+
+def q04_shard_write_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bridge.log(spark, d).select("seq", "key", "shard", "write_id", "version")
+
+
+def q05_delete_status(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.statuses(bridge.ops(spark, d)).where(F.col("op") == "DELETE").select("seq", "status")
+
+
+def q06_latest_state(spark: SparkSession, d: str) -> DataFrame:
+    return state.materialize(bridge.log(spark, d)).select("shard", "key", "value", "version", "write_id", "tombstone")
+
+
+def q07_live_kv(spark: SparkSession, d: str) -> DataFrame:
+    return state.live(state.materialize(bridge.log(spark, d)))
+
+
+def q08_get_asof(spark: SparkSession, d: str) -> DataFrame:
+    return state.reads_as_of(bridge.ops(spark, d))
+
+
+def q09_size_vs_live(spark: SparkSession, d: str) -> DataFrame:
+    return state.sizes(state.materialize(bridge.log(spark, d)))
+
+
+def q10_resurrected_keys(spark: SparkSession, d: str) -> DataFrame:
+    found = oplog.mutations_with_previous(bridge.ops(spark, d)).where((F.col("op") == "PUT") & (F.col("previous") == "DELETE"))
+    return found.groupBy("key").agg(F.count("*").alias("resurrections"), F.min("seq").alias("first_seq"))
+
+
+def q11_recover_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    bounds = bridge.half_boundaries(log)
+    return state.recover(bridge.snapshot_at(log, bounds), bounds, log).select("shard", "key", "value", "version", "write_id", "tombstone")
+
+
+def q12_scanned_vs_applied(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    return state.replay_counts(bridge.half_boundaries(log), log)
+
+
+def q13_segment_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES).select("shard", "write_id", "segment")
+
+
+def q14_replicate_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return merge.accept_replicated(bridge.arrivals(bridge.log(spark, d))).select("shard", "arrival", "write_id", "key", "op")
+
+
+def q15_migrate_newest_wins(spark: SparkSession, d: str) -> DataFrame:
+    return merge.newest_wins(bridge.arrivals(bridge.log(spark, d))).select("key", "shard", "write_id", "version", "op")
+
+
+def q16_merge_rules_diff(spark: SparkSession, d: str) -> DataFrame:
+    came = bridge.arrivals(bridge.log(spark, d))
+    high = merge.newest_wins(merge.accept_replicated(came)).select("key", F.col("write_id").alias("replicated_id"))
+    newest = merge.newest_wins(came).select("key", F.col("write_id").alias("migrated_id"))
+    return newest.join(high, "key", "left").select("key", "migrated_id", "replicated_id", (F.col("replicated_id").eqNullSafe(F.col("migrated_id"))).alias("same"))
+
+
+def q17_fnv1a(spark: SparkSession, d: str) -> DataFrame:
+    h = hashing.fnv1a(F.col("key"))
+    return bridge.keys_wide(spark, d).withColumn("h", h).select("key", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"))
+
+
+def q18_shard_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return layout.distribution(bridge.keys_wide(spark, d), 8)
+
+
+def q19_reshard_placement(spark: SparkSession, d: str) -> DataFrame:
+    return layout.placement(bridge.keys_wide(spark, d), 8, 6)
+
+
+def q20_reshard_moved_keys(spark: SparkSession, d: str) -> DataFrame:
+    return layout.moved_matrix(layout.placement(bridge.keys_wide(spark, d), 8, 6))
+
+
+def q21_reshard_no_loss(spark: SparkSession, d: str) -> DataFrame:
+    before = state.materialize(bridge.log(spark, d, 8))
+    return layout.lost_and_added(before, layout.reshard(before, 6))
+
+
+def q22_dispatch_status(spark: SparkSession, d: str) -> DataFrame:
+    """Every client operation as it fares on a leader and on a follower."""
+    ops = bridge.ops(spark, d)
+    writes = oplog.statuses(ops).select("seq", "op", "status")
+    reads = state.reads_as_of(ops).select("seq", F.lit("GET").alias("op"), "status")
+    asked = writes.unionByName(reads).crossJoin(F.broadcast(spark.createDataFrame([("leader",), ("follower",)], "role string")))
+    none = F.lit(0)
+    status = cluster.dispatch(F.col("role"), F.col("op"), F.col("status"), term=none, epoch=none, shard=none, shards=8)
+    return asked.groupBy("role", "op", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def q23_epoch_fencing(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.fence(bridge.cluster_events(spark, d)).select("arrival", "node", "term", "epoch", "verdict")
+
+
+def q24_election_winner(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.election(bridge.peers(spark, d), own_port=6380, own_total=5000, own_epoch=1)
+
+
+def q25_total_committed(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.total_committed(bridge.log(spark, d))
+
+
+def q26_heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.heartbeat_gaps(bridge.cluster_events(spark, d)).select("node", "arrival", "gap_ms", "timed_out")
+
+
+def q27_catchup_mode(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    # followers of even shards are at a quarter of the log, the others at three quarters
+    at = F.floor(F.max("write_id") * F.when(F.col("shard") % 2 == 0, 1).otherwise(3) / 4)
+    return cluster.catchup_mode(log.groupBy("shard").agg(at.alias("last_applied")), bridge.half_boundaries(log))
+
+
+def q28_replication_lag(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    return cluster.lag(log, bridge.replica(log))
+
+
+def q29_replica_diff(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    return cluster.replica_diff(state.materialize(log), state.materialize(bridge.replica(log)))
+
+
+def q30_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.floor_percentiles(bridge.table(spark, d, "events"), "event_type", "value")
+
+
+def q31_workload_mix(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mix_counts(metrics.workload_mix(bridge.ops(spark, d), 90, 10))
+
+
+def q32_copied_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return layout.copied_bytes(state.materialize(bridge.log(spark, d)), RATE)
+
+
+def q33_truncatable_segments(spark: SparkSession, d: str) -> DataFrame:
+    log = bridge.log(spark, d)
+    return layout.truncatable(layout.assign_segments(log, SEGMENT_BYTES), bridge.half_boundaries(log))
+
+
+def q34_wal_record_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return bridge.log(spark, d).select("shard", "write_id", binary.record_size(F.col("key"), F.col("value")).alias("bytes"))
+
+
+def q35_wal_crc(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.col(c) for c in ("op", "write_id", "version", "key", "value")]
+    return bridge.log(spark, d).select("shard", "write_id", binary.record_crc(*parts).alias("crc32"), F.lower(F.hex(binary.encode_record(*parts))).alias("record"))
+
+
+def _segments(spark: SparkSession, d: str, cut: int) -> DataFrame:
+    """Log files of about SEGMENT_BYTES as they would lie on disk; ``cut`` bytes are torn off the active one of each shard."""
+    log = layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES)
+    record = binary.encode_record(*[F.col(c) for c in ("op", "write_id", "version", "key", "value")])
+    whole = log.groupBy("shard", "segment").agg(F.array_sort(F.collect_list(F.struct("write_id", record.alias("bytes")))).alias("rows"))
+    content = F.aggregate("rows", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
+    whole = whole.select("shard", "segment", content.alias("content"))
+    last = whole.groupBy("shard").agg(F.max("segment").alias("last"))
+    whole = whole.join(last, "shard").withColumn("active", F.col("segment") == F.col("last"))
+    kept = F.when(F.col("active"), F.substring("content", F.lit(1), F.octet_length("content") - cut)).otherwise(F.col("content"))
+    name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
+    return whole.select(name.alias("segment"), kept.alias("content"), "active")
+
+
+def q36_wal_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as segments, torn by five bytes at each shard's end, and read again."""
+    found = codec.decode_wal(_segments(spark, d, 5))
+    shard = F.regexp_extract("segment", r"shard_(\d+)/", 1).cast("int")
+    return found.select(shard.alias("shard"), "write_id", "version", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def q37_frame_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Client operations as the bytes of one connection for each key and thousand requests, parsed again."""
+    ops = bridge.ops(spark, d)
+    code = F.when(F.col("op") == "PUT", binary.OPCODES["PUT"]).when(F.col("op") == "GET", binary.OPCODES["GET"]).otherwise(binary.OPCODES["DELETE"])
+    frame = binary.encode_frame(code, F.col("request_id"), binary.request_payload(F.col("op"), F.col("key"), F.col("value")))
+    name = F.concat_ws("/", "key", F.floor(F.col("seq") / 1000).cast("string"))
+    streams_ = ops.groupBy(name.alias("connection")).agg(F.array_sort(F.collect_list(F.struct("seq", frame.alias("bytes")))).alias("rows"))
+    streams_ = streams_.select("connection", F.aggregate("rows", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("content"))
+    found = codec.decode_frames(streams_)
+    return found.select("connection", "position", "status", "opcode", "request_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or below a temporary one where none is set (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-"))
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def q38_stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
+    """Entries kept up by a stateful stream over the events."""
+    base = _shared(spark)
+    events = spark.readStream.schema(bridge.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    streams.write_entries(bridge.from_events(events), f"{base}/entries", f"{base}/checkpoint")
+    return streams.latest(spark.read.parquet(f"{base}/entries")).select("key", "value", "version", "tombstone")
+
+
+def q39_stream_replica(spark: SparkSession, d: str) -> DataFrame:
+    """A replica fed by a stream of duplicated and late records, in two runs; then its state."""
+    base = _shared(spark)
+    bridge.arrivals(bridge.log(spark, d)).select("arrival", "write_id", "version", "op", "key", "value").write.parquet(f"{base}/records")
+    replica = ChangeLog(spark, f"{base}/replica", 8)
+    records = spark.readStream.schema("arrival bigint, write_id bigint, version bigint, op string, key string, value string").parquet(f"{base}/records")
+    streams.follow(records, replica, f"{base}/checkpoint")
+    return replica.state().select("shard", "key", "value", "version", "write_id", "tombstone")
+
+
+def q40_manifest_rollback(spark: SparkSession, d: str) -> DataFrame:
+    """A table whose resharding is broken off before its commit, opened again: the old layout, with everything in it."""
+    root = f"{_shared(spark)}/table"
+    table = ChangeLog(spark, root, 8)
+    table.append(bridge.ops(spark, d))
+    table.take_snapshot()
+    table.stage_rebalance(6)
+    again = ChangeLog(spark, root, 4)
+    return again.state().select("shard", "key", "version", "tombstone")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.twins()
