@@ -64,7 +64,7 @@ def replica(records: DataFrame) -> DataFrame:
 def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     term = 1 + F.floor(F.col("event_id") / 200) - F.when(F.col("event_type") == "error", 1).otherwise(0)
-    return e.select(F.col("event_id").alias("arrival"), (F.col("user_id") % 3).alias("node"), term.cast("long").alias("term"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return e.select(F.col("event_id").alias("arrival"), (F.col("user_id") % 3).alias("node"), term.cast("long").alias("term"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"))
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:

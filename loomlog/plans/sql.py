@@ -59,7 +59,7 @@ _WIDE = "wide AS (SELECT 'o-' || o_orderkey AS key FROM orders)"
 _HASHED = f"hashed AS (SELECT key, {_FNV.format(key='key')} AS h FROM wide)"
 
 _CLUSTER = """cl AS (
-  SELECT event_id AS arrival, user_id % 3 AS node, CAST(1 + event_id // 200 - CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS term, epoch_ms(ts) AS at_ms
+  SELECT event_id AS arrival, user_id % 3 AS node, CAST(1 + event_id // 200 - CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS term, epoch_us(ts) // 1000 AS at_ms
   FROM events)"""
 
 _OUTCOMES = f"""outcomes AS (

@@ -3,8 +3,8 @@
 Layout below the root:
 
 - ``MANIFEST``: generation and number of shards, 21 bytes; replacing it is the only commit of a new layout;
-- ``gen_<k>/log/<segment>/``: one folder of Parquet for each appended batch, partitioned by shard;
-- ``gen_<k>/snapshot/<n>/`` and ``gen_<k>/meta/<n>/``: state up to a boundary for each shard.
+- ``gen_<k>/log/n=<segment>/``: one folder of Parquet for each appended batch, partitioned by shard;
+- ``gen_<k>/snapshot/n=<n>/`` and ``gen_<k>/meta/n=<n>/``: state up to a boundary for each shard.
 
 A batch or snapshot counts once its _SUCCESS file is there. Generations that the manifest doesn't name are left over
 from a resharding that was not committed; opening the table removes them.
@@ -93,13 +93,13 @@ class ChangeLog:
 
     def _done(self, kind: str) -> list[str]:
         base = f"{self._gen()}/{kind}"
-        return [n for n in self.files.names(base) if self.files.exists(f"{base}/{n}/_SUCCESS")]
+        return [n[2:] for n in self.files.names(base) if n.startswith("n=") and self.files.exists(f"{base}/{n}/_SUCCESS")]
 
     def _read(self, kind: str, names: list[str], schema) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)
         base = f"{self.files.root}/{self._gen()}/{kind}"
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{n}" for n in names]).select(*schema.names)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/n={n}" for n in names]).select(*schema.names)
 
     def segments(self) -> list[str]:
         return self._done("log")
@@ -143,7 +143,7 @@ class ChangeLog:
 
     def _publish(self, df: DataFrame, kind: str, name: str, partitioned: bool = True) -> None:
         writer = df.write.mode("overwrite")
-        (writer.partitionBy("shard") if partitioned else writer).parquet(f"{self.files.root}/{self._gen()}/{kind}/{name}")
+        (writer.partitionBy("shard") if partitioned else writer).parquet(f"{self.files.root}/{self._gen()}/{kind}/n={name}")
 
     def append(self, ops: DataFrame) -> None:
         """Applies operations (seq, op, key, value), seq being unique in the batch, as one batch: all of it or nothing is there.
@@ -181,10 +181,10 @@ class ChangeLog:
         self._publish(meta, "meta", name, partitioned=False)
         self._publish(current, "snapshot", name)
         for segment in covered:
-            self.files.remove(f"{self._gen()}/log/{segment}")
+            self.files.remove(f"{self._gen()}/log/n={segment}")
         for old in self._done("snapshot")[:-1]:
-            self.files.remove(f"{self._gen()}/snapshot/{old}")
-            self.files.remove(f"{self._gen()}/meta/{old}")
+            self.files.remove(f"{self._gen()}/snapshot/n={old}")
+            self.files.remove(f"{self._gen()}/meta/n={old}")
 
     def stage_rebalance(self, shards: int) -> str:
         """Writes a generation with ``shards`` shards beside the current one; nobody reads it before commit_rebalance()."""
@@ -195,8 +195,8 @@ class ChangeLog:
         moved = layout.reshard(self.state(), shards)
         base = f"{self.files.root}/{new}"
         bounds = moved.groupBy("shard").agg(F.max("write_id").alias("boundary_write_id"), F.count("*").alias("entry_count"))
-        bounds.select(F.lit(self.generation + 1).cast("long").alias("generation"), "shard", "boundary_write_id", "entry_count").write.mode("overwrite").parquet(f"{base}/meta/0000000001")
-        moved.select(*schemas.STATE.names).repartition(max(1, min(shards, 4096)), "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/snapshot/0000000001")
+        bounds.select(F.lit(self.generation + 1).cast("long").alias("generation"), "shard", "boundary_write_id", "entry_count").write.mode("overwrite").parquet(f"{base}/meta/n=0000000001")
+        moved.select(*schemas.STATE.names).repartition(max(1, min(shards, 4096)), "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/snapshot/n=0000000001")
         return new
 
     def commit_rebalance(self, shards: int) -> None:
