@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import buckets_for
+from loomlog.llm.common import buckets_for, slices
 
 SLOTS = 4
 MAX_EVICTIONS = 200
@@ -153,14 +153,14 @@ def normalised_digest(text: bytes) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         digests = pa.array([normalised_digest(t) for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), digests], names=["doc_id", "digest"])
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             index.insert(normalised_digest(text), doc_id)
         if index.size >= COMBINER_KEYS:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import text_or_empty
+from loomlog.llm.common import slices, text_or_empty
 
 #: Bytes in a window, the units of each direction, and the windows that are read side by side.
 WINDOW, HIDDEN, LANES = 64, 8, 2048
@@ -190,7 +190,7 @@ def read_texts(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
 
 def _reader(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column(0).cast(pa.binary()).to_pylist()
             found, scores, shares = [], [], []
             start = total = 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import text_or_empty
+from loomlog.llm.common import slices, text_or_empty
 
 #: Payloads are padded with bytes 0 to a positive multiple of this, one row of blocks.
 UNIT = 64
@@ -362,7 +362,7 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         for a, b in _chunks([len(t) for t in texts]):
             media = encode_payloads([payload_of(t) for t in texts[a:b]])
@@ -375,7 +375,7 @@ _FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in _FEATURES.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         media = batch.column(2).to_pylist()
         rows = []
         for a, b in _chunks([len(m or b"") for m in media]):

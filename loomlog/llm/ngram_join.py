@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import bitmap_of, may_be_in, stable, text_or_empty
+from loomlog.llm.common import bitmap_of, may_be_in, slices, stable, text_or_empty
 from loomlog.llm.components import components
 
 TREES, DEPTH = 16, 8
@@ -108,7 +108,7 @@ def _signing(n: int, depth: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n, seed)
         whole = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             start = total = 0
             for k in range(len(texts) + 1):
@@ -128,7 +128,7 @@ def _signing(n: int, depth: int, seed: int):
 def _verifying(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, set()
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for b, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if b != last:

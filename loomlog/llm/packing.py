@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import gapless_rank, stable, text_or_empty
+from loomlog.llm.common import gapless_rank, slices, stable, text_or_empty
 
 END_ID = 1
 #: Words whose ids a worker keeps before it starts anew.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 
 
 # ---- plan ----
@@ -253,16 +253,14 @@ def _cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
         end, step = END_ID.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 1000):
-                rows = []
-                for doc_id, text in zip(doc_ids[a : a + 1000], texts[a : a + 1000], strict=True):
-                    ids = tokenizer.encode(text) + end
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in slices(batches):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = tokenizer.encode(text) + end
+                for k, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

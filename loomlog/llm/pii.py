@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import text_or_empty
+from loomlog.llm.common import slices, text_or_empty
 
 ROUNDS = 10
 #: Used where the caller gives no key; a production run passes its own secret.
@@ -267,7 +267,7 @@ class Pseudonyms:
 def _replacer(key: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
-        for batch in batches:
+        for batch in slices(batches):
             texts, spans = [], []
             for text in batch.column(1).to_pylist():
                 new, found = (None, []) if text is None else names.replace(text)

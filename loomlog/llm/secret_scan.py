@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import stable, text_or_empty
+from loomlog.llm.common import slices, stable, text_or_empty
 
 _word = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 #: Kinds in the order in which spans of the same start are listed, and the least length of group "value".
@@ -60,7 +60,7 @@ _SCHEMA = "array<struct<kind:string,start:int,stop:int,value_hash:string,random:
 
 def _scanner(least_entropy: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, digests = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 spans = base_spans(text)
