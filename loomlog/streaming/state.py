@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from loomlog import schemas
 from loomlog.operators import oplog
 from loomlog.sources.table import ChangeLog
 
+# the process that asks a stateful processor for its state schema is not sent this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ENTRY = "value string, version bigint, seq bigint, tombstone boolean"
 CHANGES = "key string, value string, version bigint, seq bigint, tombstone boolean"
 
