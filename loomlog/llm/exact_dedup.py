@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import buckets_for, slices
+from loomlog.llm.common import buckets_for, map_in_arrow
 
 SLOTS = 4
 MAX_EVICTIONS = 200
@@ -153,14 +153,14 @@ def normalised_digest(text: bytes) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in batches:
         digests = pa.array([normalised_digest(t) for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), digests], names=["doc_id", "digest"])
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
-    for batch in slices(batches):
+    for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             index.insert(normalised_digest(text), doc_id)
         if index.size >= COMBINER_KEYS:
@@ -190,12 +190,12 @@ def _binary(docs: DataFrame) -> DataFrame:
 
 def live_digests(docs: DataFrame) -> DataFrame:
     """The index of a whole table: (digest binary, largest, n), one row for each different text."""
-    partial = _binary(docs).mapInArrow(_combine, "digest binary, largest bigint, n bigint")
+    partial = map_in_arrow(_binary(docs), _combine, "digest binary, largest bigint, n bigint")
     parts = buckets_for(docs.count(), PARTITION_KEYS)
     part = F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")
     # the first byte lets more tasks than parts share the work; equal digests always meet in one
     keyed = partial.select(part.alias("part"), "digest", "largest", "n").repartition("part", F.substring("digest", 1, 1))
-    return keyed.sortWithinPartitions("part").mapInArrow(_merge, "digest binary, largest bigint, n bigint")
+    return map_in_arrow(keyed.sortWithinPartitions("part"), _merge, "digest binary, largest bigint, n bigint")
 
 
 def without(index: DataFrame, gone: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def without(index: DataFrame, gone: DataFrame) -> DataFrame:
     fewer = live_digests(gone).select("digest", "largest", (-F.col("n")).alias("n"))
     part = F.pmod(F.xxhash64("digest"), F.lit(buckets_for(index.count(), PARTITION_KEYS))).cast("int")
     both = index.unionByName(fewer).select(part.alias("part"), "digest", "largest", "n").repartition("part", F.substring("digest", 1, 1))
-    return both.sortWithinPartitions("part", F.col("n") < 0).mapInArrow(_apply, "digest binary, largest bigint, n bigint")
+    return map_in_arrow(both.sortWithinPartitions("part", F.col("n") < 0), _apply, "digest binary, largest bigint, n bigint")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +234,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     doc_id and text are all marked as kept, as they can't be told apart. An empty table gives an empty one.
     """
     index = live_digests(docs).withColumnRenamed("digest", "_digest")
-    rows = _binary(docs).mapInArrow(_digests, "doc_id bigint, digest binary")
+    rows = map_in_arrow(_binary(docs), _digests, "doc_id bigint, digest binary")
     joined = rows.join(index, rows["digest"] == index["_digest"])
     return joined.select("doc_id", F.col("largest").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("largest")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import slices, text_or_empty
+from loomlog.llm.common import map_in_arrow, text_or_empty
 
 #: Bytes in a window, the units of each direction, and the windows that are read side by side.
 WINDOW, HIDDEN, LANES = 64, 8, 2048
@@ -190,7 +190,7 @@ def read_texts(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
 
 def _reader(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in batches:
             raw = batch.column(0).cast(pa.binary()).to_pylist()
             found, scores, shares = [], [], []
             start = total = 0
@@ -263,4 +263,4 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Dat
     rest = docs.drop("lang_pred", "score", "position_share") if keep is None else docs.select(*keep)
     rows = docs.select(text_or_empty().alias("_text"), *[F.col(c) for c in rest.columns])
     fields = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("position_share", T.DoubleType())])
-    return rows.mapInArrow(_reader(net), fields)
+    return map_in_arrow(rows, _reader(net), fields)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import slices, text_or_empty
+from loomlog.llm.common import map_in_arrow, text_or_empty
 
 #: Payloads are padded with bytes 0 to a positive multiple of this, one row of blocks.
 UNIT = 64
@@ -362,7 +362,7 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in _chunks([len(t) for t in texts]):
             media = encode_payloads([payload_of(t) for t in texts[a:b]])
@@ -375,7 +375,7 @@ _FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in _FEATURES.split(", ")]
-    for batch in slices(batches):
+    for batch in batches:
         media = batch.column(2).to_pylist()
         rows = []
         for a, b in _chunks([len(m or b"") for m in media]):
@@ -411,7 +411,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_jpeg(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded, as baseline JPEG; a null text is an empty one, 64 bytes 0."""
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(_store, "doc_id bigint, n_bytes bigint, media binary")
+    return map_in_arrow(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), _store, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def jpeg_features(media: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def jpeg_features(media: DataFrame) -> DataFrame:
     value that is null or no baseline JPEG gets a row with ``error`` and nulls. Equal media, equal values. Rows stay
     one for one; an empty table gives an empty one.
     """
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _FEATURES)
+    return map_in_arrow(media.select("doc_id", "n_bytes", "media"), _read, _FEATURES)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

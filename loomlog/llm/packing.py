@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import gapless_rank, slices, stable, text_or_empty
+from loomlog.llm.common import gapless_rank, map_in_arrow, stable, text_or_empty
 
 END_ID = 1
 #: Words whose ids a worker keeps before it starts anew.
@@ -253,7 +253,7 @@ def _cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
         end, step = END_ID.to_bytes(4, "little"), 4 * capacity
-        for batch in slices(batches):
+        for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokenizer.encode(text) + end
@@ -267,7 +267,7 @@ def _cutter(path: str, capacity: int):
 
 def cut_to_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and an end id, cut after every ``capacity`` ids."""
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_cutter(tokenizer_path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_in_arrow(docs.select("doc_id", text_or_empty().alias("text")), _cutter(tokenizer_path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import slices, text_or_empty
+from loomlog.llm.common import map_in_arrow, text_or_empty
 
 ROUNDS = 10
 #: Used where the caller gives no key; a production run passes its own secret.
@@ -267,7 +267,7 @@ class Pseudonyms:
 def _replacer(key: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
-        for batch in slices(batches):
+        for batch in batches:
             texts, spans = [], []
             for text in batch.column(1).to_pylist():
                 new, found = (None, []) if text is None else names.replace(text)
@@ -285,7 +285,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
     ``back`` undoes it with the same key. A null text stays null, an empty one empty; texts without such values are
     unchanged; repeated rows get a row each; an empty table gives an empty one. No shuffle.
     """
-    return docs.select("doc_id", "text").mapInArrow(_replacer(key, back), "doc_id bigint, text string, pii array<struct<kind:string,start:int,stop:int>>")
+    return map_in_arrow(docs.select("doc_id", "text"), _replacer(key, back), "doc_id bigint, text string, pii array<struct<kind:string,start:int,stop:int>>")
 
 
 def with_counts(found: DataFrame) -> DataFrame:

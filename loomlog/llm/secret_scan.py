@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import slices, stable, text_or_empty
+from loomlog.llm.common import map_in_arrow, stable, text_or_empty
 
 _word = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 #: Kinds in the order in which spans of the same start are listed, and the least length of group "value".
@@ -60,7 +60,7 @@ _SCHEMA = "array<struct<kind:string,start:int,stop:int,value_hash:string,random:
 
 def _scanner(least_entropy: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in batches:
             found, digests = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 spans = base_spans(text)
@@ -81,7 +81,7 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     never texts, are written to the checkpoint folder and shuffled; counts are combined before the shuffle.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(repository).cast("string"), F.lit("\0")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), text_or_empty().alias("text"))
-    scanned = rows.mapInArrow(_scanner(least_entropy), f"doc_id bigint, repository string, owner string, candidates {_SCHEMA}, base_sha256 string")
+    scanned = map_in_arrow(rows, _scanner(least_entropy), f"doc_id bigint, repository string, owner string, candidates {_SCHEMA}, base_sha256 string")
     scanned = stable(scanned).withColumn("_rid", F.monotonically_increasing_id())
     each = scanned.select("_rid", "repository", "owner", F.explode("candidates").alias("c")).select("_rid", "repository", "owner", "c.*")
     # distinct pairs first: a value that a third of all documents hold is combined in the map tasks
