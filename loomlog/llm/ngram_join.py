@@ -8,8 +8,9 @@ target recall at the threshold, and below that node nothing more can be gained.
 Candidates come from the trie's nodes at that depth and, where a node is large, from those below it: all pairs of a
 node of up to ``small`` texts; in a larger node every text with the node's leader, and then the same in its
 children. The leader is the text with the most neighbours over all trees, which stands in the middle of a group.
-So candidates grow with the number of texts, not with the square of a group. Each candidate is verified on the
-shingle sets themselves.
+What these links leave apart in a large node is then compared with its hubs, the texts that stand out in each of
+HUBS random parts of it. So candidates grow with the number of texts, not with the square of a group. Each candidate
+is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import bitmap_of, may_be_in, slices, stable, text_or_empty
+from loomlog.llm.common import bitmap_of, map_in_arrow, may_be_in, stable, text_or_empty
 from loomlog.llm.components import components
 
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 16, 12
 #: Nodes of up to this many texts are compared in all pairs.
-SMALL = 12
+SMALL = 24
+#: Texts of a large node that all are compared with which the first links have not joined to them.
+HUBS = 32
 #: Values below the chosen depth that are kept for descending, 16 bits of each.
-DEEPER = 4
+DEEPER = 8
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -92,31 +95,32 @@ class Signer:
 
 
 def _tree_keys(signatures: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text and tree: 64 bits of its prefix of ``depth`` values, and the next DEEPER values at 16 bits each."""
+    """For each text and tree: 64 bits of its prefix of ``depth`` values, and the next DEEPER values, 16 bits of each."""
     values = signatures.reshape(len(signatures), TREES, DEPTH).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), values.shape[:2]) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(depth):
         key = (key ^ values[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    deep = np.zeros(values.shape[:2], dtype=np.uint64)
-    for k in range(DEEPER):
-        deep = deep << np.uint64(16) | values[:, :, depth + k] & np.uint64(0xFFFF)
-    return key.view(np.int64), deep.view(np.int64)
+    return key.view(np.int64), values[:, :, depth : depth + DEEPER].astype(np.uint16)
+
+
+def _lists(rows: int, flat: pa.Array, empty: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * TREES), flat, mask=pa.array(empty))
 
 
 def _signing(n: int, depth: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n, seed)
-        whole = pa.list_(pa.int64())
-        for batch in slices(batches):
+        for batch in batches:
             texts = batch.column(2).to_pylist()
             start = total = 0
             for k in range(len(texts) + 1):
                 if k > start and (k == len(texts) or total > 1 << 18):
                     signatures = signer.sign(texts[start:k])
                     keys, deep = _tree_keys(signatures, depth)
-                    empty = [not t or t.isspace() for t in texts[start:k]]
-                    columns = [pa.array([None if e else row for e, row in zip(empty, x.tolist(), strict=True)], whole) for x in (keys, deep)]
+                    empty = np.array([not t or t.isspace() for t in texts[start:k]])
+                    below = pa.Array.from_buffers(pa.binary(2 * DEEPER), deep.shape[0] * TREES, [None, pa.py_buffer(deep.tobytes())]).cast(pa.binary())
+                    columns = [_lists(k - start, flat, empty) for flat in (pa.array(keys.ravel()), below)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start), *columns], names=["doc_id", "t", "keys", "deep"])
                     start, total = k, 0
                 if k < len(texts):
@@ -128,7 +132,7 @@ def _signing(n: int, depth: int, seed: int):
 def _verifying(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, set()
-        for batch in slices(batches):
+        for batch in batches:
             found = []
             for b, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if b != last:
@@ -147,44 +151,70 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _candidates(texts: DataFrame, small: int) -> DataFrame:
-    """Pairs (a, b) of text keys from (t, keys, deep), one row for each different text."""
+def _candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (t, keys, deep), one row for each different text: pairs (a, b) of text keys; (t, key) of the largest node
+    of each text in a large one; and (key, hub) of these nodes."""
     leaves = texts.where(F.col("keys").isNotNull()).select("t", F.explode(F.arrays_zip("keys", "deep")).alias("x")).select("t", F.col("x.keys").alias("key"), F.col("x.deep").alias("deep"))
     nodes = stable(leaves.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
     members = stable(may_be_in(leaves, bitmap_of(nodes, F.col("key")), F.col("key")).join(nodes, "key"))
     standing = stable(members.groupBy("t").agg(F.sum("size").alias("standing")))
+    large = members.where(F.col("size") > small)
+    nodes = stable(large.groupBy("t").agg(F.max(F.struct("size", "key"))["key"].alias("key")))
+    hubs = stable(large.join(standing, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(HUBS))).agg(F.max(F.struct("standing", "t"))["t"].alias("hub")).select("key", "hub"))
     pairs = None
-    for level in range(DEEPER + 1):
+    for level in range(0, DEEPER + 1, 2):
         if level:
-            members = members.where(F.col("size") > small).select("t", "deep", F.xxhash64("key", F.shiftrightunsigned("deep", 64 - 16 * level)).alias("own"), "key")
-            sizes = members.groupBy("own").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+            members = members.where(F.col("size") > small).select("t", "deep", F.xxhash64("key", F.substring("deep", 1, 2 * level)).alias("own"), "key")
+            # written first: then both sides of the join are plain shuffles, which skewed nodes can be split in
+            sizes = stable(members.groupBy("own").agg(F.count("*").alias("size")).where(F.col("size") > 1))
             members = stable(members.join(sizes, "own")).select("t", "deep", "key", "own", "size")
         else:
             members = members.withColumn("own", F.col("key"))
         few = members.where(F.col("size") <= small).groupBy("own").agg(F.sort_array(F.collect_list("t")).alias("ts"))
         few = few.select(F.explode(F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
         many = members.where(F.col("size") > small)
-        leaders = many.join(standing, "t").groupBy("own").agg(F.max(F.struct("standing", "t"))["t"].alias("leader"))
-        led = many.join(leaders, "own").where(F.col("t") != F.col("leader")).select(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b"))
+        leaders = stable(many.join(standing, "t").groupBy("own").agg(F.max(F.struct("standing", "t"))["t"].alias("leader")))
+        led = many.join(leaders, "own").where(F.col("t") != F.col("leader")).select(*_ordered("t", "leader"))
         found = stable(few.unionByName(led).distinct())
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    return pairs.distinct(), nodes, hubs
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, similarity) pairs of different texts."""
-    depth = prefix_depth(threshold, target)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
-    signed = stable(rows.mapInArrow(_signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, deep array<bigint>"))
-    texts = signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("deep").alias("deep"))
-    pairs = stable(_candidates(texts, small))
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold; rows: (t, text)."""
     needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
     hashed = F.xxhash64("t")
     found = may_be_in(rows, bitmap_of(needed, hashed), hashed).groupBy("t").agg(F.first("text").alias("text"))
-    found = found.join(needed, "t", "left_semi")
+    found = stable(found.join(needed, "t", "left_semi"))
     one = pairs.join(found.select(F.col("t").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(found.select(F.col("t").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return signed, stable(two.mapInArrow(_verifying(n, threshold), "a binary, b binary, similarity double"))
+    return stable(map_in_arrow(two, _verifying(n, threshold), "a binary, b binary, similarity double"))
+
+
+def _left_apart(links: DataFrame, nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a text and a hub of its node that no chain of links joins."""
+    roots = stable(components(links))
+    of = lambda df, name: df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+    pairs = stable(of(nodes, "t")).join(stable(of(hubs, "hub")), "key").where(F.col("t_root") != F.col("hub_root"))
+    return pairs.select(*_ordered("t", "hub")).distinct()
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, similarity) pairs of different texts."""
+    depth = prefix_depth(threshold, target)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
+    signed = stable(map_in_arrow(rows, _signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, deep array<binary>"))
+    texts = signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("deep").alias("deep"))
+    pairs, nodes, hubs = _candidates(texts, small)
+    pairs = stable(pairs)
+    texts_of = rows.select("t", "text")
+    links = _verified(texts_of, pairs, n, threshold)
+    more = stable(_left_apart(links, nodes, hubs).join(pairs, ["a", "b"], "left_anti"))
+    return signed, links.unionByName(_verified(texts_of, more, n, threshold))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> DataFrame:
