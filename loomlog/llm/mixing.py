@@ -17,6 +17,8 @@ from loomlog.llm.common import buckets_for, stable, text_or_empty
 WORD = r"[^\x20\x09-\x0D]+"
 #: Quality weights lie between this and 1.
 LEAST_WEIGHT = 0.25
+#: Documents that one bucket of the prefix sums is meant to hold.
+SUM_ROWS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +70,7 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
         "_u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 12) + F.lit(0.5)) / F.lit(float(2**52)),
     })
     rows = stable(rows)
-    n = buckets_for(rows.count())
+    n = buckets_for(rows.count(), SUM_ROWS)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
