@@ -237,3 +237,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = map_in_arrow(_binary(docs), _digests, "doc_id bigint, digest binary")
     joined = rows.join(index, rows["digest"] == index["_digest"])
     return joined.select("doc_id", F.col("largest").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("largest")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+#: DuckDB's version of op7, by a window over the normalised texts themselves.
+SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM d)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
+"""

@@ -67,7 +67,7 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
         "size": F.coalesce(F.col("size"), F.lit(0)).cast("long"),
         "_w": F.least(F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(LEAST_WEIGHT)), F.lit(1.0)),
         # 52 bits of a hash, never 0: exact in a double
-        "_u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 12) + F.lit(0.5)) / F.lit(float(2**52)),
+        "_u": (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52)),
     })
     rows = stable(rows)
     n = buckets_for(rows.count(), SUM_ROWS)
@@ -92,3 +92,31 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
 def sized(docs: DataFrame) -> DataFrame:
     """What mix() needs of documents: doc_id, source, size in words, quality weight, and text_key, a hash of the text."""
     return docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), quality_weight(text_or_empty()).alias("weight"), F.xxhash64("text").alias("text_key"))
+
+
+#: DuckDB's version of op5: the same draws from MD5, the same targets, plain windows.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size,
+    0.25::DOUBLE + 0.75::DOUBLE / (1 + (20 * (length(t) - length(translate(t, '#$%&*!|', '')))) / greatest(length(t), 1)) AS w,
+    (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM d),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sums),
+weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][place % 3 + 1] AS sw, 2.0::DOUBLE * source_size AS cap FROM placed),
+levels AS (
+  SELECT *, cap / sw AS ratio,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / sw, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(sw) OVER (ORDER BY cap / sw, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, CASE WHEN level >= ratio THEN cap ELSE sw * (SELECT arg_min(level, row(ratio, place)) FROM levels WHERE level < ratio) END AS target FROM levels),
+spent AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+sorted AS (
+  SELECT doc_id, s.source AS source, size, source_size, target, epochs,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY -ln(u) / w, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix
+  FROM s JOIN spent p ON s.source IS NOT DISTINCT FROM p.source),
+taken AS (SELECT *, CAST(epochs + CASE WHEN prefix + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END AS INTEGER) AS times FROM sorted)
+SELECT doc_id, size, source_size, target, size * times AS taken, source, times FROM taken
+"""

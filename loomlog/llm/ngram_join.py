@@ -237,3 +237,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target:
     least = texts.groupBy("root").agg(F.min("least").alias("class_id"))
     texts = texts.join(least, "root").select("t", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
     return signed.select("doc_id", "t").join(texts, "t").select("doc_id", "class_id", "n_links", "copies", "t")
+
+
+#: DuckDB's version of op3: all pairs that share a shingle, and reachability over the links.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
+t AS (SELECT txt, row_number() OVER (ORDER BY txt) AS id, list_filter(string_split_regex(txt, '\s+'), lambda x: x <> '') AS ws FROM (SELECT DISTINCT txt FROM d)),
+sh AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+  FROM t),
+n AS (SELECT id, count(*) AS k FROM sh GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+near AS (SELECT a, b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.k + y.k - c) >= 0.8),
+ends AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT id, id AS other FROM t UNION SELECT r.id, e.y FROM reach r JOIN ends e ON r.other = e.x),
+owns AS (SELECT t.id, min(doc_id) AS doc, count(*) AS copies FROM t JOIN d ON t.txt = d.txt GROUP BY t.id),
+class AS (SELECT r.id, min(l.doc) AS class_id FROM reach r JOIN owns l ON r.other = l.id GROUP BY r.id),
+degree AS (SELECT x AS id, count(*) AS n_links FROM ends GROUP BY x)
+SELECT d.doc_id, c.class_id, coalesce(g.n_links, 0) AS n_links, l.copies
+FROM d JOIN t ON t.txt = d.txt JOIN class c ON c.id = t.id JOIN owns l ON l.id = t.id LEFT JOIN degree g ON g.id = t.id
+"""
