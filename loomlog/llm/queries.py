@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.SQL, "op5_mix_sources": mixing.SQL, "op6_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op5_mix_sources": mixing.SQL, "op6_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}

@@ -109,3 +109,30 @@ def _rank(kind):
     for k, name in enumerate(KINDS):
         out = F.when(kind == name, k).otherwise(out)
     return out
+
+_ASSIGN = "(?:" + "|".join(map(_word, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: DuckDB's version of op8: a match begins after all gaps and matches before it.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT rid, 'assign' AS kind, 0 AS rank, 8 AS shortest, regexp_extract_all(t, '{_ASSIGN}') AS ms, regexp_extract_all(t, '{_ASSIGN}', 1) AS vs, string_split_regex(t, '{_ASSIGN}') AS gaps FROM d
+  UNION ALL SELECT rid, 'access', 1, 16, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT rid, 'hex', 2, 32, regexp_extract_all(t, '[0-9a-f]{{32,}}'), regexp_extract_all(t, '[0-9a-f]{{32,}}'), string_split_regex(t, '[0-9a-f]{{32,}}') FROM d),
+c AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+p AS (
+  SELECT rid, kind, rank, shortest, ms[i] AS m, vs[i] AS v,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM c),
+ok AS (SELECT rid, kind, rank, v, start, start + length(m) AS stop FROM p WHERE length(v) >= shortest),
+held AS (SELECT v, count(DISTINCT owner) AS owners FROM ok JOIN d ON ok.rid = d.rid GROUP BY v),
+e AS (SELECT ok.*, owners, owners <= 1 AND list_aggregate(string_split(ok.v, ''), 'entropy') >= 3 AS live FROM ok JOIN held ON ok.v = held.v),
+every AS (SELECT rid, start, rank, kind || ':' || start || ':' || stop AS says FROM e UNION ALL SELECT rid, start, 3, 'live:' || start || ':' || stop FROM e WHERE live),
+told AS (SELECT rid, string_agg(says, ',' ORDER BY start, rank, says) AS spans, string_agg(says, ',' ORDER BY start, rank) FILTER (rank < 3) AS base FROM every GROUP BY rid),
+counts AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (live) AS l, count(*) FILTER (owners > 1) AS c
+  FROM e GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(l, 0) AS n_live, coalesce(c, 0) AS n_copied,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told ON told.rid = d.rid LEFT JOIN counts ON counts.rid = d.rid
+"""
