@@ -84,11 +84,11 @@ def gapless_rank(df: DataFrame, group: str, spread: Column, rows: int, out: str)
     and must not change in between, see :func:`stable`.
     """
     n = buckets_for(rows)
-    df = df.withColumn("_r", spread).withColumn("_b", F.pmod(F.shiftright("_r", 7), F.lit(n)))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = df.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(group, "_b").orderBy("_r")
-    return df.join(base, [group, "_b"]).withColumn(out, F.col("_base") + F.row_number().over(within) - 1).drop("_r", "_b", "_base")
+    df = df.withColumn("_ll_r", spread).withColumn("_ll_b", F.pmod(F.shiftright("_ll_r", 7), F.lit(n)))
+    before = Window.partitionBy(group).orderBy("_ll_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(group, "_ll_b").agg(F.count("*").alias("_ll_n")).select(group, "_ll_b", F.coalesce(F.sum("_ll_n").over(before), F.lit(0)).alias("_ll_base"))
+    within = Window.partitionBy(group, "_ll_b").orderBy("_ll_r")
+    return df.join(base, [group, "_ll_b"]).withColumn(out, F.col("_ll_base") + F.row_number().over(within) - 1).drop("_ll_r", "_ll_b", "_ll_base")
 
 
 #: A bitmap has this many pieces of 32,768 bits: 2 MB in all, for data of any size.
@@ -102,7 +102,7 @@ def _bit(hashed: Column) -> tuple[Column, Column]:
 def bitmap_of(df: DataFrame, hashed: Column) -> DataFrame:
     """A bit for each 64-bit hash in df, as at most BITMAP_PIECES rows of 4 KB: small enough to broadcast whatever df is."""
     piece, place = _bit(hashed)
-    return df.select(piece.alias("_piece"), place.alias("_place")).groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    return df.select(piece.alias("_ll_piece"), place.alias("_ll_place")).groupBy("_ll_piece").agg(F.bitmap_construct_agg("_ll_place").alias("_ll_bits"))
 
 
 def may_be_in(df: DataFrame, bitmap: DataFrame, hashed: Column) -> DataFrame:
@@ -111,6 +111,6 @@ def may_be_in(df: DataFrame, bitmap: DataFrame, hashed: Column) -> DataFrame:
     It spares a following join the shuffle of rows that find no partner; where the bitmap is full, it spares nothing.
     """
     piece, place = _bit(hashed)
-    found = df.withColumns({"_piece": piece, "_place": place}).join(F.broadcast(bitmap), "_piece")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return found.where(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_piece", "_place", "_bits")
+    found = df.withColumns({"_ll_piece": piece, "_ll_place": place}).join(F.broadcast(bitmap), "_ll_piece")
+    byte = F.conv(F.hex(F.substring("_ll_bits", (F.floor(F.col("_ll_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return found.where(F.getbit(byte, (F.col("_ll_place") % 8).cast("int")) == 1).drop("_ll_piece", "_ll_place", "_ll_bits")

@@ -168,6 +168,8 @@ def read_texts(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     pooled, votes = np.zeros((len(texts), len(net.labels))), np.zeros((len(texts), len(net.labels)), dtype=np.int64)
+    if not net.labels:
+        return pooled, votes
     padded = b"".join(t + b" " * (-len(t) % WINDOW) for t in texts)
     rows = np.frombuffer(padded, dtype=np.uint8).reshape(-1, WINDOW)
     owner = np.repeat(np.arange(len(texts)), -(-sizes // WINDOW))
@@ -244,9 +246,9 @@ def fit(docs: DataFrame, per_label: int = 250, seed: int = 0) -> Network:
     bound = F.lit(0.0)
     for lang, n in counts.items():
         bound = F.when(F.col("lang") == lang, min(1.0, (1.2 * per_label + 20) / n)).otherwise(bound)
-    rows = known.withColumn("_place", place).where(F.col("_place") < bound).select("lang", "text", "_place").collect()
+    rows = known.withColumn("_ll_place", place).where(F.col("_ll_place") < bound).select("lang", "text", "_ll_place").collect()
     texts, labels, seen = [], [], dict.fromkeys(counts, 0)
-    for row in sorted({(r["_place"], r["lang"], r["text"]) for r in rows}):
+    for row in sorted({(r["_ll_place"], r["lang"], r["text"]) for r in rows}):
         if seen[row[1]] < per_label and has_letter(row[2]):
             seen[row[1]] += 1
             texts.append(row[2])
@@ -261,6 +263,6 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Dat
     learned (no labelled rows). Clashing columns are replaced; an empty table gives an empty one. No shuffle.
     """
     rest = docs.drop("lang_pred", "score", "position_share") if keep is None else docs.select(*keep)
-    rows = docs.select(text_or_empty().alias("_text"), *[F.col(c) for c in rest.columns])
+    rows = docs.select(text_or_empty().alias("_ll_text"), *[F.col(c) for c in rest.columns])
     fields = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("position_share", T.DoubleType())])
     return map_in_arrow(rows, _reader(net), fields)

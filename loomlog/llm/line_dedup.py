@@ -23,7 +23,7 @@ MIN_CHARS = 20
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row for each line that is not blank: doc_id, _key (of the row's text), pos, line, h1, h2."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_ll_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
@@ -104,22 +104,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     near = stable(_near_copies(_sharing_a_half(docs, classes)))
     again = classes.where(F.col("copies") > 1).select("h1", "h2", "first", F.lit(False).alias("near")).join(near, ["h1", "h2"], "left_anti")
     marked = stable(again.unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near"))))
-    copies = may_be_in(_lines(docs), bitmap_of(marked, F.col("h1")), F.col("h1")).select("doc_id", "_key", "pos", "h1", "h2")
+    copies = may_be_in(_lines(docs), bitmap_of(marked, F.col("h1")), F.col("h1")).select("doc_id", "_ll_key", "pos", "h1", "h2")
     copies = copies.join(marked, ["h1", "h2"]).where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    gone = copies.groupBy("doc_id", "_key").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "_gone")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_key"] == gone["_k"]), "left")
+    gone = copies.groupBy("doc_id", "_ll_key").agg(F.collect_set("pos").alias("_ll_gone")).select(F.col("doc_id").alias("_ll_doc"), F.col("_ll_key").alias("_ll_k"), "_ll_gone")
+    keyed = docs.withColumn("_ll_key", F.xxhash64("doc_id", "text"))
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_ll_doc"]) & (keyed["_ll_key"] == gone["_ll_k"]), "left")
     # its own column: inside the functions below it would be split again for each line
-    joined = joined.withColumn("_parts", F.split("text", "\n", -1))
-    parts = F.col("_parts")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    joined = joined.withColumn("_ll_parts", F.split("text", "\n", -1))
+    parts = F.col("_ll_parts")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ll_gone"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     joined = joined.withColumns({
         "n_lines": F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
-        "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter),
+        "n_dropped": F.coalesce(F.size("_ll_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("_ll_gone").isNull(), F.col("text")).otherwise(shorter),
     })
-    return joined.drop("_key", "_doc", "_k", "_gone", "_parts")
+    return joined.drop("_ll_key", "_ll_doc", "_ll_k", "_ll_gone", "_ll_parts")
 
 
 #: DuckDB's version of what op6 returns: candidates by shared halves, verified by edit distance.

@@ -411,7 +411,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_jpeg(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded, as baseline JPEG; a null text is an empty one, 64 bytes 0."""
-    return map_in_arrow(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), _store, "doc_id bigint, n_bytes bigint, media binary")
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")), _store, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def jpeg_features(media: DataFrame) -> DataFrame:

@@ -43,15 +43,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     place = F.row_number().over(order) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_ratio = Window.orderBy("_ratio", "_place")
+    by_ratio = Window.orderBy("_ll_ratio", "_ll_place")
     below, above = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = sizes.withColumns({"_place": place, "_w": weight, "_cap": most * F.col("source_size")}).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    s = s.withColumn("_budget", share * F.sum("source_size").over(whole))
-    s = s.withColumn("_level", (F.col("_budget") - F.coalesce(F.sum("_cap").over(below), F.lit(0.0))) / F.sum("_w").over(above))
-    s = s.withColumn("_full", F.col("_level") >= F.col("_ratio"))
+    s = sizes.withColumns({"_ll_place": place, "_ll_w": weight, "_ll_cap": most * F.col("source_size")}).withColumn("_ll_ratio", F.col("_ll_cap") / F.col("_ll_w"))
+    s = s.withColumn("_ll_budget", share * F.sum("source_size").over(whole))
+    s = s.withColumn("_ll_level", (F.col("_ll_budget") - F.coalesce(F.sum("_ll_cap").over(below), F.lit(0.0))) / F.sum("_ll_w").over(above))
+    s = s.withColumn("_ll_full", F.col("_ll_level") >= F.col("_ll_ratio"))
     # the level that counts is the one at the first source that is not at its limit
-    level = F.min(F.when(~F.col("_full"), F.struct("_ratio", "_place", "_level"))).over(whole)["_level"]
-    return s.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(level * F.col("_w"))).drop("_place", "_w", "_cap", "_ratio", "_budget", "_level", "_full")
+    level = F.min(F.when(~F.col("_ll_full"), F.struct("_ll_ratio", "_ll_place", "_ll_level"))).over(whole)["_ll_level"]
+    return s.withColumn("target", F.when(F.col("_ll_full"), F.col("_ll_cap")).otherwise(level * F.col("_ll_w"))).drop("_ll_place", "_ll_w", "_ll_cap", "_ll_ratio", "_ll_budget", "_ll_level", "_ll_full")
 
 
 def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3, 1, 2)) -> DataFrame:
@@ -65,28 +65,28 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
     """
     rows = rows.drop("source_size", "target", "times", "taken").withColumns({
         "size": F.coalesce(F.col("size"), F.lit(0)).cast("long"),
-        "_w": F.least(F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(LEAST_WEIGHT)), F.lit(1.0)),
+        "_ll_w": F.least(F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(LEAST_WEIGHT)), F.lit(1.0)),
         # 52 bits of a hash, never 0: exact in a double
-        "_u": (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52)),
+        "_ll_u": (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52)),
     })
     rows = stable(rows)
     n = buckets_for(rows.count(), SUM_ROWS)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    targets = targets.withColumn("_ll_epochs", epochs).withColumn("_ll_rest", F.col("target") - F.col("_ll_epochs") * F.col("source_size"))
     # u ** (least / w) falls as the key grows, and no bucket of it is over 1 / least times as full as the mean
-    keyed = rows.withColumns({"_key": -F.log("_u") / F.col("_w"), "_b": F.floor(n * (1 - F.pow(F.col("_u"), LEAST_WEIGHT / F.col("_w"))))})
-    sums = keyed.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    sums = sums.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_sum")
-    sums = sums.withColumnsRenamed({"source": "_source", "_b": "_bucket"})
-    all_rows = keyed.join(sums, keyed["source"].eqNullSafe(sums["_source"]) & (keyed["_b"] == sums["_bucket"])).drop("_source", "_bucket")
-    earlier = Window.partitionBy("source", "_b").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.col("_base") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    all_rows = all_rows.withColumn("times", (F.col("_epochs") + (prefix + F.col("size") / 2 <= F.col("_rest")).cast("int")).cast("int"))
-    return all_rows.withColumn("taken", F.col("size") * F.col("times")).drop("_w", "_u", "_key", "_b", "_base", "_epochs", "_rest")
+    keyed = rows.withColumns({"_ll_key": -F.log("_ll_u") / F.col("_ll_w"), "_ll_b": F.floor(n * (1 - F.pow(F.col("_ll_u"), LEAST_WEIGHT / F.col("_ll_w"))))})
+    sums = keyed.groupBy("source", "_ll_b").agg(F.sum("size").alias("_ll_sum"))
+    before = Window.partitionBy("source").orderBy("_ll_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_ll_base", F.coalesce(F.sum("_ll_sum").over(before), F.lit(0)))
+    sums = sums.join(targets.withColumnRenamed("source", "_ll_source"), F.col("source").eqNullSafe(F.col("_ll_source"))).drop("_ll_source", "_ll_sum")
+    sums = sums.withColumnsRenamed({"source": "_ll_source", "_ll_b": "_ll_bucket"})
+    all_rows = keyed.join(sums, keyed["source"].eqNullSafe(sums["_ll_source"]) & (keyed["_ll_b"] == sums["_ll_bucket"])).drop("_ll_source", "_ll_bucket")
+    earlier = Window.partitionBy("source", "_ll_b").orderBy("_ll_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = F.col("_ll_base") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    all_rows = all_rows.withColumn("times", (F.col("_ll_epochs") + (prefix + F.col("size") / 2 <= F.col("_ll_rest")).cast("int")).cast("int"))
+    return all_rows.withColumn("taken", F.col("size") * F.col("times")).drop("_ll_w", "_ll_u", "_ll_key", "_ll_b", "_ll_base", "_ll_epochs", "_ll_rest")
 
 
 def sized(docs: DataFrame) -> DataFrame:

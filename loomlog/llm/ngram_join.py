@@ -206,7 +206,7 @@ def _left_apart(links: DataFrame, nodes: DataFrame, hubs: DataFrame) -> DataFram
 def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, similarity) pairs of different texts."""
     depth = prefix_depth(threshold, target)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
     signed = stable(map_in_arrow(rows, _signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, deep array<binary>"))
     texts = signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("deep").alias("deep"))
     pairs, nodes, hubs = _candidates(texts, small)

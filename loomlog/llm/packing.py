@@ -267,7 +267,7 @@ def _cutter(path: str, capacity: int):
 
 def cut_to_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and an end id, cut after every ``capacity`` ids."""
-    return map_in_arrow(docs.select("doc_id", text_or_empty().alias("text")), _cutter(tokenizer_path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), _cutter(tokenizer_path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -280,12 +280,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     pieces = stable(pieces.drop("sequence_id", "offset"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = slots(plan(counts, capacity))
-    places = pieces.sparkSession.createDataFrame(found, "_size bigint, _first bigint, _ranks bigint, _count bigint, _sequence bigint, _offset bigint")
-    ranked = gapless_rank(pieces.withColumn("_rid", F.monotonically_increasing_id()), "length", F.xxhash64("_rid"), sum(counts.values()), "_rank")
-    at = F.col("_rank") - F.col("_first")
-    placed = ranked.join(places, (F.col("length") == F.col("_size")) & (at >= 0) & (at < F.col("_ranks")))
-    placed = placed.withColumns({"sequence_id": F.col("_sequence") + F.floor(at / F.col("_count")), "offset": F.col("_offset") + at % F.col("_count") * F.col("length")})
-    return placed.drop("_rid", "_rank", *places.columns)
+    places = pieces.sparkSession.createDataFrame(found, "_ll_size bigint, _ll_first bigint, _ll_ranks bigint, _ll_count bigint, _ll_sequence bigint, _ll_offset bigint")
+    ranked = gapless_rank(pieces.withColumn("_ll_rid", F.monotonically_increasing_id()), "length", F.xxhash64("_ll_rid"), sum(counts.values()), "_ll_rank")
+    at = F.col("_ll_rank") - F.col("_ll_first")
+    placed = ranked.join(places, (F.col("length") == F.col("_ll_size")) & (at >= 0) & (at < F.col("_ll_ranks")))
+    placed = placed.withColumns({"sequence_id": F.col("_ll_sequence") + F.floor(at / F.col("_ll_count")), "offset": F.col("_ll_offset") + at % F.col("_ll_count") * F.col("length")})
+    return placed.drop("_ll_rid", "_ll_rank", *places.columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:

@@ -219,7 +219,7 @@ def _written_date(s: str, move: Mover) -> str | None:
 KINDS: tuple[tuple[str, str, Callable[[str, Mover], str | None]], ...] = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban),
-    ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ipv4),
+    ("ipv4", r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ipv4),
     ("iso_date", r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}", _iso_date),
     ("date", r"[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}", _written_date),
     ("ssn", r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}", _ssn),
@@ -285,7 +285,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
     ``back`` undoes it with the same key. A null text stays null, an empty one empty; texts without such values are
     unchanged; repeated rows get a row each; an empty table gives an empty one. No shuffle.
     """
-    return map_in_arrow(docs.select("doc_id", "text"), _replacer(key, back), "doc_id bigint, text string, pii array<struct<kind:string,start:int,stop:int>>")
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _replacer(key, back), "doc_id bigint, text string, pii array<struct<kind:string,start:int,stop:int>>")
 
 
 def with_counts(found: DataFrame) -> DataFrame:

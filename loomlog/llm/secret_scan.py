@@ -80,7 +80,7 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     are one owner of their own; repeated rows get a row each; an empty table gives an empty one. Only candidates,
     never texts, are written to the checkpoint folder and shuffled; counts are combined before the shuffle.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(repository).cast("string"), F.lit("\0")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(repository).cast("string"), F.lit("\0")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), text_or_empty().alias("text"))
     scanned = map_in_arrow(rows, _scanner(least_entropy), f"doc_id bigint, repository string, owner string, candidates {_SCHEMA}, base_sha256 string")
     scanned = stable(scanned).withColumn("_rid", F.monotonically_increasing_id())
     each = scanned.select("_rid", "repository", "owner", F.explode("candidates").alias("c")).select("_rid", "repository", "owner", "c.*")

@@ -75,8 +75,8 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 24, seed: int = 0) -> DataF
     ``slot`` are replaced. Equal texts are spread independently. The table is written once to the checkpoint folder
     as it comes: give it narrow, and join texts later.
     """
-    fixed = stable(rows.drop("shard", "slot").withColumns({"_pid": F.spark_partition_id(), "_rid": F.monotonically_increasing_id()}))
-    counts = sorted((r["_pid"], r["n"]) for r in fixed.groupBy("_pid").agg(F.count("*").alias("n")).collect())
+    fixed = stable(rows.drop("shard", "slot").withColumns({"_ll_pid": F.spark_partition_id(), "_ll_rid": F.monotonically_increasing_id()}))
+    counts = sorted((r["_ll_pid"], r["n"]) for r in fixed.groupBy("_ll_pid").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     random.Random(seed).shuffle(sizes)
@@ -88,9 +88,9 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 24, seed: int = 0) -> DataF
             at += k
             cut.append(at)
         ends.append((pid, cut))
-    bounds = rows.sparkSession.createDataFrame(ends, "_pid int, _ends array<bigint>")
-    local = Window.partitionBy("_pid").orderBy(F.xxhash64(F.lit(seed + 2), F.col("_rid")))
-    rank = fixed.withColumn("_at", F.row_number().over(local) - 1).join(bounds, "_pid")
-    dealt = rank.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at")))).drop("_ends", "_at", "_pid")
+    bounds = rows.sparkSession.createDataFrame(ends, "_ll_pid int, _ll_ends array<bigint>")
+    local = Window.partitionBy("_ll_pid").orderBy(F.xxhash64(F.lit(seed + 2), F.col("_ll_rid")))
+    rank = fixed.withColumn("_ll_at", F.row_number().over(local) - 1).join(bounds, "_ll_pid")
+    dealt = rank.withColumn("shard", F.size(F.filter("_ll_ends", lambda e: e <= F.col("_ll_at")))).drop("_ll_ends", "_ll_at", "_ll_pid")
     dealt = stable(dealt)
-    return gapless_rank(dealt, "shard", F.xxhash64(F.lit(seed + 3), F.col("_rid")), total, "slot").drop("_rid")
+    return gapless_rank(dealt, "shard", F.xxhash64(F.lit(seed + 3), F.col("_ll_rid")), total, "slot").drop("_ll_rid")
