@@ -111,3 +111,21 @@ def match_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 def epoch_at_end(events: DataFrame) -> DataFrame:
     """Highest epoch and last verdict of each node, from fenced events."""
     return events.groupBy("node").agg(F.max(F.greatest("epoch", "term")).alias("epoch"), F.max_by("verdict", "arrival").alias("last_verdict"))
+
+
+def parse_peers(text: DataFrame, column: str = "peers") -> DataFrame:
+    """(host, port) of lists ``host:port,host:port``; empty parts are skipped, one without a colon or a port is an error."""
+    part = text.select(F.explode(F.split(column, ",")).alias("part")).where(F.col("part") != "")
+    host, port = F.substring_index("part", ":", 1), F.substring_index("part", ":", -1)
+    good = F.contains(F.col("part"), F.lit(":")) & port.rlike(r"^[0-9]{1,5}$")
+    checked = F.when(good, port).otherwise(F.raise_error(F.concat(F.lit("not host:port: "), F.col("part"))))
+    return part.select(host.alias("host"), checked.cast("int").alias("port"))
+
+
+def checked_role(role: Column) -> Column:
+    """leader or follower; anything else is an error."""
+    return F.when(role.isin("leader", "follower"), role).otherwise(F.raise_error(F.concat(F.lit("not a role: "), role)))
+
+
+def shards_with_data(state: DataFrame) -> DataFrame:
+    return state.agg(F.count_distinct("shard").alias("shards"))

@@ -235,3 +235,24 @@ def test_replies_that_are_too_short_decode_to_zero(spark):
     row = spark.createDataFrame([(bytearray(b"\0\0"), bytearray((7).to_bytes(8, "big") + (9).to_bytes(8, "big")))], "s binary, l binary")
     got = row.select(binary.decode_last_applied(F.col("s")).alias("a"), binary.decode_last_applied(F.col("l")).alias("b"), binary.decode_election_reply(F.col("s")).alias("c"), binary.decode_election_reply(F.col("l")).alias("d")).first()
     assert (got["a"], got["b"], tuple(got["c"]), tuple(got["d"])) == (0, 7, (0, 0), (7, 9))
+
+
+def test_peers_and_roles(spark):
+    df = spark.createDataFrame([("a:1,,b.example:6380",), ("",)], "peers string")
+    assert [tuple(r) for r in cluster.parse_peers(df).collect()] == [("a", 1), ("b.example", 6380)]
+    for bad in ("a", "a:", "a:x"):
+        with pytest.raises(Exception, match="not host:port"):
+            cluster.parse_peers(spark.createDataFrame([(bad,)], "peers string")).collect()
+    roles = lambda r: spark.createDataFrame([(r,)], "r string").select(cluster.checked_role(F.col("r")).alias("r")).collect()
+    assert roles("leader")[0]["r"] == "leader"
+    with pytest.raises(Exception, match="not a role"):
+        roles("king")
+    state_ = spark.createDataFrame([(0, "a"), (3, "b"), (3, "c")], "shard int, key string")
+    assert cluster.shards_with_data(state_).first()["shards"] == 2
+
+
+def test_workload_mix(spark):
+    ops = spark.range(10_000).withColumnRenamed("id", "seq")
+    for read, write in ((90, 10), (10, 90), (45, 45)):
+        got = {r["op"]: r["n"] for r in metrics.mix_counts(metrics.workload_mix(ops, read, write)).collect()}
+        assert got.get("GET") == read * 100 and got.get("PUT") == write * 100 and got.get("DELETE", 0) == (100 - read - write) * 100
