@@ -120,12 +120,17 @@ class ChangeLog:
         """Latest entry of each key, tombstones included: the snapshot and the log after its boundaries."""
         return state.recover(self.snapshot(), self.boundaries(), self.log())
 
+    def entry(self, key: str) -> DataFrame:
+        """The entry of one key. Its shard is a literal in both scans: other shards' folders are not opened."""
+        own = (F.col("shard") == hashing.shard_of(key, self.shards)) & (F.col("key") == key)
+        return state.recover(self.snapshot().where(own), self.boundaries(), self.log().where(own))
+
     def get(self, key: str) -> str | None:
-        row = state.get(self.state(), key, self.shards).first()
+        row = self.entry(key).where(~F.col("tombstone")).select("value").first()
         return None if row is None else row["value"]
 
     def peek(self, key: str):
-        return state.peek(self.state(), key, self.shards).first()
+        return self.entry(key).first()
 
     def size(self) -> int:
         """Entries, tombstones included."""

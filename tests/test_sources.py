@@ -126,6 +126,14 @@ def test_table_batches_snapshot_and_reopen(spark, tmp_path):
     assert entries(ChangeLog(spark, root).state()) == expected(ops, 4) | {"new": ("1", 1, False)}
 
 
+def test_a_point_read_opens_one_shard(spark, tmp_path):
+    table = ChangeLog(spark, str(tmp_path / "t"), 8)
+    table.append(spark.createDataFrame([(i, "PUT", f"k{i}", str(i)) for i in range(50)] + [(99, "DELETE", "k7", None)], OPS))
+    assert (table.get("k3"), table.get("k7"), table.get("none")) == ("3", None, None) and table.peek("k7")["tombstone"]
+    plan = table.entry("k3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(key), EqualTo(key,k3)" in plan
+
+
 def test_rebalance_twice_and_rollback(spark, tmp_path):
     root = str(tmp_path / "t")
     ops = random_ops(12, 200, 30)
