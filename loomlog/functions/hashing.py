@@ -27,11 +27,13 @@ def shard_of(data: bytes | str, shards: int) -> int:
 
 
 def _bytes(value: Column) -> Column:
-    """Byte values of a binary (or string) column as an array of longs; empty for an empty value."""
-    text = F.hex(value.cast("binary"))
-    count = (F.length(text) / 2).cast("int")
-    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(text, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    """Byte values of a binary (or string) column as an array of longs; empty for an empty value.
+
+    Read as Latin-1, each byte is one character with its value as the code point.
+    """
+    characters = F.split(F.decode(value.cast("binary"), "ISO-8859-1"), "")
+    values = F.transform(characters, lambda c: F.ascii(c).cast("long"))
+    return F.when(F.octet_length(value) > 0, values).otherwise(F.array().cast("array<bigint>"))
 
 
 def fnv1a(value: Column) -> Column:

@@ -54,11 +54,13 @@ def sizes(state: DataFrame, by: str = "shard") -> DataFrame:
 def recover(snapshot: DataFrame, boundaries: DataFrame, log: DataFrame) -> DataFrame:
     """State from a snapshot and the log's tail: records up to the shard's boundary are skipped, later ones replace.
 
-    boundaries: (shard, boundary_write_id), a row for each shard at most. A shard without one has boundary 0.
+    boundaries: (shard, boundary_write_id), a row for each shard at most. A shard without one has boundary 0. A
+    record of the tail is newer than any entry of the snapshot, so the tail is materialized on its own, and entries
+    without a newer record stay as they are: behind a short tail the snapshot is not shuffled.
     """
     tail = log.join(boundaries.select("shard", "boundary_write_id"), "shard", "left").where(F.col("write_id") > F.coalesce("boundary_write_id", F.lit(0)))
-    old = snapshot.select("shard", "key", "value", "version", "write_id", F.when(F.col("tombstone"), "DELETE").otherwise("PUT").alias("op"))
-    return materialize(old.unionByName(tail.select(old.columns)))
+    newer = materialize(tail.drop("boundary_write_id"))
+    return snapshot.select(newer.columns).join(newer.select("key"), "key", "left_anti").select(newer.columns).unionByName(newer)
 
 
 def replay_counts(boundaries: DataFrame, log: DataFrame) -> DataFrame:

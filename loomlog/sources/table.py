@@ -118,6 +118,8 @@ class ChangeLog:
 
     def state(self) -> DataFrame:
         """Latest entry of each key, tombstones included: the snapshot and the log after its boundaries."""
+        if not self.segments():
+            return self.snapshot()
         return state.recover(self.snapshot(), self.boundaries(), self.log())
 
     def entry(self, key: str) -> DataFrame:
@@ -197,11 +199,11 @@ class ChangeLog:
             raise ValueError("a layout has at least one shard")
         self.rebalance_state = "migrating"
         new = f"gen_{self.generation + 1}"
-        moved = layout.reshard(self.state(), shards)
         base = f"{self.files.root}/{new}"
+        layout.reshard(self.state(), shards).select(*schemas.STATE.names).repartition(max(1, min(shards, 4096)), "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/snapshot/n=0000000001")
+        moved = self.spark.read.schema(schemas.STATE).parquet(f"{base}/snapshot/n=0000000001")
         bounds = moved.groupBy("shard").agg(F.max("write_id").alias("boundary_write_id"), F.count("*").alias("entry_count"))
         bounds.select(F.lit(self.generation + 1).cast("long").alias("generation"), "shard", "boundary_write_id", "entry_count").write.mode("overwrite").parquet(f"{base}/meta/n=0000000001")
-        moved.select(*schemas.STATE.names).repartition(max(1, min(shards, 4096)), "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/snapshot/n=0000000001")
         return new
 
     def commit_rebalance(self, shards: int) -> None:
