@@ -186,13 +186,7 @@ def q35_wal_crc(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str, cut: int) -> DataFrame:
     """Log files of about SEGMENT_BYTES as they would lie on disk; ``cut`` bytes are torn off the active one of each shard."""
-    log = layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES)
-    record = binary.encode_record(*[F.col(c) for c in ("op", "write_id", "version", "key", "value")])
-    whole = log.groupBy("shard", "segment").agg(F.array_sort(F.collect_list(F.struct("write_id", record.alias("bytes")))).alias("rows"))
-    content = F.aggregate("rows", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
-    whole = whole.select("shard", "segment", content.alias("content"))
-    last = whole.groupBy("shard").agg(F.max("segment").alias("last"))
-    whole = whole.join(last, "shard").withColumn("active", F.col("segment") == F.col("last"))
+    whole = codec.pack_segments(layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES))
     kept = F.when(F.col("active"), F.substring("content", F.lit(1), F.octet_length("content") - cut)).otherwise(F.col("content"))
     name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
     return whole.select(name.alias("segment"), kept.alias("content"), "active")
@@ -212,7 +206,7 @@ def q37_frame_decode(spark: SparkSession, d: str) -> DataFrame:
     frame = binary.encode_frame(code, F.col("request_id"), binary.request_payload(F.col("op"), F.col("key"), F.col("value")))
     name = F.concat_ws("/", "key", F.floor(F.col("seq") / 1000).cast("string"))
     streams_ = ops.groupBy(name.alias("connection")).agg(F.array_sort(F.collect_list(F.struct("seq", frame.alias("bytes")))).alias("rows"))
-    streams_ = streams_.select("connection", F.aggregate("rows", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("content"))
+    streams_ = streams_.select("connection", F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x["bytes"])), "")).alias("content"))
     found = codec.decode_frames(streams_)
     return found.select("connection", "position", "status", "opcode", "request_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog import schemas
+from loomlog.functions import binary
 from loomlog.functions.binary import FORMAT_VERSION, MANIFEST_MAGIC, OPCODES, RECORD_TYPES, SNAPSHOT_MAGIC
 
 _KINDS = {code: name for name, code in RECORD_TYPES.items()}
@@ -218,3 +219,40 @@ def read_snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     parsed = _parse_datatype_string(schema)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(_decoding(parsed, decode), schema)
+
+
+def pack_segments(log: DataFrame) -> DataFrame:
+    """(shard, segment, content, active) of a log with ``segment``: the bytes of each segment, records in the order of write_id.
+
+    A segment is as large as the limit it was cut by, so its records fit in a row.
+    """
+    record = binary.encode_record(*[F.col(c) for c in ("op", "write_id", "version", "key", "value")])
+    whole = log.groupBy("shard", "segment").agg(F.array_sort(F.collect_list(F.struct("write_id", record.alias("bytes")))).alias("rows"))
+    content = F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x["bytes"])), ""))
+    whole = whole.select("shard", "segment", content.alias("content"))
+    last = whole.groupBy("shard").agg(F.max("segment").alias("_last")).withColumnRenamed("shard", "_shard")
+    return whole.join(last, F.col("shard") == F.col("_shard")).select("shard", "segment", "content", (F.col("segment") == F.col("_last")).alias("active"))
+
+
+def write_wal(log: DataFrame, root: str) -> DataFrame:
+    """Writes a log with ``segment`` as binary segment files below ``root``, and returns (path, bytes) of each.
+
+    A file is written beside its place and moved there, so a reader sees whole files, and a task that is run again
+    writes the same ones. ``root`` is a path or URI that Arrow's file systems know and all executors share.
+    """
+    name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            paths = [f"{base.rstrip('/')}/{n}" for n in batch.column(0).to_pylist()]
+            for path, data in zip(paths, batch.column(1).to_pylist(), strict=True):
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{path}.new") as out:
+                    out.write(data)
+                system.move(f"{path}.new", path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([len(d) for d in batch.column(1).to_pylist()], pa.int64())], names=["path", "bytes"])
+
+    return pack_segments(log).select(name.alias("name"), "content").mapInArrow(write, "path string, bytes bigint")

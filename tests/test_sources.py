@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog import schemas
 from loomlog.functions import binary
-from loomlog.operators import oplog, state
+from loomlog.operators import layout, oplog, state
 from loomlog.sources import codec
 from loomlog.sources.table import ChangeLog
 from loomlog.streaming import state as streams
@@ -70,6 +70,15 @@ def test_reading_log_files(spark, tmp_path):
     assert good.collect() == []
 
 
+def test_writing_log_files(spark, tmp_path):
+    log = oplog.build(spark.createDataFrame(random_ops(21, 200, 9), OPS), 3)
+    cut = layout.assign_segments(log, 400)
+    files = codec.write_wal(cut, str(tmp_path / "wal")).collect()
+    assert sum(r["bytes"] for r in files) == sum(33 + len(r["key"].encode()) + len(r["value"] or "") for r in log.collect())
+    back = codec.read_wal(spark, str(tmp_path / "wal")).collect()
+    assert sorted((r["op"], r["write_id"], r["version"], bytes(r["key"]).decode()) for r in back) == sorted((r["op"], r["write_id"], r["version"], r["key"]) for r in log.collect())
+
+
 def test_snapshot_and_manifest_files(spark, tmp_path):
     data = codec.encode_snapshot(3, [(b"a", b"1", 1, 1, False), (b"b", b"", 2, 3, True)])
     assert codec.decode_snapshot(data) == (3, [(b"a", b"1", 1, 1, False), (b"b", b"", 2, 3, True)])
