@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import binary, hashing
+from loomlog.operators import blocked
 
 
 def distribution(keys: DataFrame, shards: int) -> DataFrame:
@@ -91,6 +92,15 @@ def truncatable(segments: DataFrame, boundaries: DataFrame) -> DataFrame:
     return found.where(F.col("_all") == 1).select("shard", "segment", "last")
 
 
+def throttled(log: DataFrame, rate: int) -> DataFrame:
+    """Adds ``done_ms``: when each record of a shard's copy is through a token bucket of ``rate`` bytes a second that starts empty (0: no limit)."""
+    size = F.octet_length(F.coalesce("key", F.lit(""))) + F.octet_length(F.coalesce("value", F.lit("")))
+    if not rate:
+        return log.withColumn("done_ms", F.lit(0).cast("long"))
+    found = blocked.prior_sum(log, ["shard"], "write_id", size, "_sent")
+    return found.withColumn("done_ms", F.floor((F.col("_sent") + size) * 1000 / F.lit(rate))).drop("_sent")
+
+
 def copied_bytes(state: DataFrame, rate: int) -> DataFrame:
     """Bytes of keys and values that a migration copies from each shard, and whole milliseconds at ``rate`` bytes a second (0: no limit)."""
     size = F.octet_length(F.coalesce("key", F.lit(""))) + F.octet_length(F.coalesce("value", F.lit("")))

@@ -159,7 +159,10 @@ class ChangeLog:
         durable when its batch is.
         """
         keyed = ops.select("seq", "op", "key", "value")
-        old = self.state().select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.col("tombstone").alias("_gone"))
+        # only entries of the batch's keys are materialized
+        keys = keyed.where(F.col("op") != "GET").select("key").distinct()
+        known = state.recover(self.snapshot().join(keys, "key", "left_semi"), self.boundaries(), self.log().join(keys, "key", "left_semi"))
+        old = known.select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.col("tombstone").alias("_gone"))
         found = oplog.mutations_with_previous(keyed).join(old, F.col("key") == F.col("_key"), "left")
         was_live = F.when(F.col("previous").isNotNull(), F.col("previous") == "PUT").otherwise(F.coalesce(~F.col("_gone"), F.lit(False)))
         found = found.where((F.col("op") == "PUT") | was_live).withColumn("value", F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))))

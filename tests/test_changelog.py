@@ -166,6 +166,12 @@ def test_segments_and_truncation(spark):
     assert 4 not in {r["segment"] for r in layout.truncatable(cut, everything).collect()}
 
 
+def test_throttle(spark):
+    log = spark.createDataFrame([(0, 1, "k", "v" * 9), (0, 2, "k", None), (1, 1, "kk", "vvv")], "shard int, write_id bigint, key string, value string")
+    assert {(r["shard"], r["write_id"]): r["done_ms"] for r in layout.throttled(log, 10).collect()} == {(0, 1): 1000, (0, 2): 1100, (1, 1): 500}
+    assert {r["done_ms"] for r in layout.throttled(log, 0).collect()} == {0}
+
+
 def test_epochs(spark):
     events = spark.createDataFrame([(0, 1, 5), (0, 2, 4), (0, 3, 9), (0, 4, 5)], "node int, arrival bigint, term bigint")
     assert [r["verdict"] for r in cluster.fence(events, 5).orderBy("arrival").collect()] == ["ACCEPT", "REJECT", "ADOPT", "REJECT"]
