@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stable(large)
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(least, F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stable(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())

@@ -162,7 +162,7 @@ def _candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame, Dat
     nodes = stable(large.groupBy("t").agg(F.max(F.struct("size", "key"))["key"].alias("key")))
     hubs = stable(large.join(standing, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(HUBS))).agg(F.max(F.struct("standing", "t"))["t"].alias("hub")).select("key", "hub"))
     pairs = None
-    for level in range(0, DEEPER + 1, 2):
+    for level in range(0, DEEPER + 1, 4):
         if level:
             members = members.where(F.col("size") > small).select("t", "deep", F.xxhash64("key", F.substring("deep", 1, 2 * level)).alias("own"), "key")
             # written first: then both sides of the join are plain shuffles, which skewed nodes can be split in
@@ -175,7 +175,7 @@ def _candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame, Dat
         many = members.where(F.col("size") > small)
         leaders = stable(many.join(standing, "t").groupBy("own").agg(F.max(F.struct("standing", "t"))["t"].alias("leader")))
         led = many.join(leaders, "own").where(F.col("t") != F.col("leader")).select(*_ordered("t", "leader"))
-        found = stable(few.unionByName(led).distinct())
+        found = few.unionByName(led).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.distinct(), nodes, hubs
 
