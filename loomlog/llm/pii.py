@@ -217,7 +217,8 @@ def _written_date(s: str, move: Mover) -> str | None:
 
 #: Kind, pattern, and the function that validates and moves; tried in this order at each place of the text.
 KINDS: tuple[tuple[str, str, Callable[[str, Mover], str | None]], ...] = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    # begins where its run of characters does: long runs of dots or dashes would else be tried at each place
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban),
     ("ipv4", r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ipv4),
     ("iso_date", r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}", _iso_date),
