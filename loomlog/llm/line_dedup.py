@@ -58,23 +58,23 @@ def _sharing_a_half(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _near_pairs(sharing: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of (h1, h2, first): they have an equal variant."""
+    """Candidate pairs (a, b) of (h1, h2, first) with an equal variant, and how: without the character ``at`` both are equal, or, if b is ``longer``, b is a."""
     m = F.col("n") - F.floor(F.col("place") / 2).cast("int")
     first = F.floor(m / 2).cast("int")
     is_head = F.col("place") % 2 == 0
     # the half that may differ: what follows the shared head, or what comes before the shared tail
     rest = F.when(is_head, F.substring("line", first + 1, F.col("n"))).otherwise(F.substring("line", F.lit(1), F.col("n") - (m - first)))
-    rows = sharing.select(F.struct("first", "h1", "h2").alias("id"), "key", (F.col("place") >= 2).alias("longer"), rest.alias("rest")).withColumn("r", F.char_length("rest"))
+    rows = sharing.select(F.struct("first", "h1", "h2").alias("id"), "key", (F.col("place") >= 2).alias("longer"), rest.alias("rest"), F.when(is_head, first).otherwise(0).alias("before")).withColumn("r", F.char_length("rest"))
     without = lambda i: F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.col("r")))
     # a replaced character: both lines without the one at the same place are equal; an added one: the longer without it is the other
     variants = F.transform(F.sequence(F.lit(1), F.col("r")), lambda i: F.xxhash64("key", without(i), F.when(F.col("longer"), 0).otherwise(i)))
-    emitted = rows.where(F.col("r") > 0).select("id", "longer", F.explode(variants).alias("variant"))
-    replaced = emitted.where(~F.col("longer")).select("id", "variant")
+    emitted = rows.where(F.col("r") > 0).select("id", "longer", "before", F.posexplode(variants).alias("k", "variant")).select("id", "longer", "variant", (F.col("before") + F.col("k") + 1).alias("at"))
+    replaced = emitted.where(~F.col("longer")).select("id", "variant", "at")
     leads = replaced.groupBy("variant").agg(F.min("id").alias("lead"), F.count("*").alias("lines")).where(F.col("lines") > 1)
-    added = emitted.where(F.col("longer")).select(F.col("id").alias("b"), "variant")
+    added = emitted.where(F.col("longer")).select(F.col("id").alias("b"), "variant", "at")
     whole = rows.where(~F.col("longer")).select(F.col("id").alias("a"), F.xxhash64("key", "rest", F.lit(0)).alias("variant"))
-    pairs = replaced.join(leads, "variant").where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(whole.join(added, "variant").select("a", "b")).distinct()
+    pairs = replaced.join(leads, "variant").where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"), "at", F.lit(False).alias("longer"))
+    return pairs.unionByName(whole.join(added, "variant").select("a", "b", "at", F.lit(True).alias("longer"))).distinct()
 
 
 def _near_copies(sharing: DataFrame) -> DataFrame:
@@ -84,7 +84,9 @@ def _near_copies(sharing: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         one = texts.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
         pairs = pairs.join(one, (F.col(f"{side}.h1") == F.col(f"{side}1")) & (F.col(f"{side}.h2") == F.col(f"{side}2"))).drop(f"{side}1", f"{side}2")
-    near = pairs.where(F.levenshtein("a_line", "b_line", 1) >= 0)
+    # one edit apart, shown on the lines themselves in time linear in their length
+    without = lambda line: F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + 1, F.char_length(line)))
+    near = pairs.where(F.when(F.col("longer"), F.col("a_line") == without("b_line")).otherwise(without("a_line") == without("b_line")))
     later = near.select(F.when(F.col("a.first") < F.col("b.first"), F.col("b")).when(F.col("b.first") < F.col("a.first"), F.col("a")).alias("id"))
     return later.where(F.col("id").isNotNull()).select("id.*").select("h1", "h2", "first").dropDuplicates(["h1", "h2"])
 

@@ -71,6 +71,16 @@ def test_edits_at_every_place(spark):
     assert all(r[1] == "" for r in run(documents(spark, rows)) if 0 < r[0] < len(rows) - 1)
 
 
+def test_long_lines(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(8000)) + "."
+    rows = [(0, base)]
+    for k in (0, 3999, 4000, 4001, 7999):
+        rows += [(len(rows), base[:k] + "#" + base[k + 1 :]), (len(rows) + 1, base[:k] + base[k + 1 :]), (len(rows) + 2, base[:k] + "#" + base[k:])]
+    rows.append((len(rows), base[:2000] + "#" + base[2001:6000] + "#" + base[6001:]))
+    assert run(documents(spark, rows)) == brute(rows)
+
+
 def test_odd_and_empty_tables(spark):
     df = odd(spark)
     got = line_dedup.dedup_lines(df)
