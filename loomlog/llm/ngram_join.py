@@ -3,14 +3,13 @@
 Each text has a MinHash signature of its word shingles, cut into trees. In a tree, texts are the leaves of a prefix
 trie over the values of its part of the signature. Two texts of similarity s share a prefix of d values in at least
 one of l trees with probability 1 - (1 - s^d)^l: prefixes are shortened from the full depth until this reaches the
-target recall at the threshold, and below that node nothing more can be gained.
-
-Candidates come from the trie's nodes at that depth and, where a node is large, from those below it: all pairs of a
-node of up to ``small`` texts; in a larger node every text with the node's leader, and then the same in its
-children. The leader is the text with the most neighbours over all trees, which stands in the middle of a group.
-What these links leave apart in a large node is then compared with its hubs, the texts that stand out in each of
-HUBS random parts of it. So candidates grow with the number of texts, not with the square of a group. Each candidate
-is verified on the shingle sets themselves.
+target recall at the threshold.
+
+All pairs of each node at that depth are verified on the shingle sets themselves, each pair in the first tree that
+has it in one node. Pairs of nodes of up to ``small`` texts are rows. Larger nodes are cut into blocks, by texts and
+by characters, and each two blocks are a unit of work of bounded size: the intersections are counted on bit rows,
+and only the texts' numbers of links and a spanning forest leave the unit. So no task holds a large node and no row
+is written for each of its pairs; the time still grows with the number of these pairs.
 """
 
 from __future__ import annotations
@@ -27,20 +26,20 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import bitmap_of, map_in_arrow, may_be_in, stable, text_or_empty
 from loomlog.llm.components import components
 
-TREES, DEPTH = 16, 12
-#: Nodes of up to this many texts are compared in all pairs.
+TREES, DEPTH = 16, 4
+#: Pairs of nodes of up to this many texts are rows of their own.
 SMALL = 24
-#: Texts of a large node that all are compared with which the first links have not joined to them.
-HUBS = 32
-#: Values below the chosen depth that are kept for descending, 16 bits of each.
-DEEPER = 8
+#: Texts and characters that a block of a larger node is meant to hold.
+BLOCK_TEXTS, BLOCK_CHARS = 512, 1 << 20
+#: Shingles whose bits are held at a time.
+BITS = 1 << 15
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH - DEEPER) -> int:
+def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
     """The full depth, shortened until pairs at the threshold are found with the target recall."""
     while depth > 1 and recall(threshold, depth, trees) < target:
         depth -= 1
@@ -94,14 +93,14 @@ class Signer:
         return out
 
 
-def _tree_keys(signatures: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text and tree: 64 bits of its prefix of ``depth`` values, and the next DEEPER values, 16 bits of each."""
+def _tree_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
+    """For each text and tree: 64 bits of its prefix of ``depth`` values."""
     values = signatures.reshape(len(signatures), TREES, DEPTH).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), values.shape[:2]) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(depth):
         key = (key ^ values[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    return key.view(np.int64), values[:, :, depth : depth + DEEPER].astype(np.uint16)
+    return key.view(np.int64)
 
 
 def _lists(rows: int, flat: pa.Array, empty: np.ndarray) -> pa.Array:
@@ -116,12 +115,10 @@ def _signing(n: int, depth: int, seed: int):
             start = total = 0
             for k in range(len(texts) + 1):
                 if k > start and (k == len(texts) or total > 1 << 18):
-                    signatures = signer.sign(texts[start:k])
-                    keys, deep = _tree_keys(signatures, depth)
+                    keys = _tree_keys(signer.sign(texts[start:k]), depth)
                     empty = np.array([not t or t.isspace() for t in texts[start:k]])
-                    below = pa.Array.from_buffers(pa.binary(2 * DEEPER), deep.shape[0] * TREES, [None, pa.py_buffer(deep.tobytes())]).cast(pa.binary())
-                    columns = [_lists(k - start, flat, empty) for flat in (pa.array(keys.ravel()), below)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start), *columns], names=["doc_id", "t", "keys", "deep"])
+                    chars = pa.array([len(t) for t in texts[start:k]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start), _lists(k - start, pa.array(keys.ravel()), empty), chars], names=["doc_id", "t", "keys", "chars"])
                     start, total = k, 0
                 if k < len(texts):
                     total += len(texts[k])
@@ -151,37 +148,114 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (t, keys, deep), one row for each different text: pairs (a, b) of text keys; (t, key) of the largest node
-    of each text in a large one; and (key, hub) of these nodes."""
-    leaves = texts.where(F.col("keys").isNotNull()).select("t", F.explode(F.arrays_zip("keys", "deep")).alias("x")).select("t", F.col("x.keys").alias("key"), F.col("x.deep").alias("deep"))
-    nodes = stable(leaves.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-    members = stable(may_be_in(leaves, bitmap_of(nodes, F.col("key")), F.col("key")).join(nodes, "key"))
-    standing = stable(members.groupBy("t").agg(F.sum("size").alias("standing")))
-    large = members.where(F.col("size") > small)
-    nodes = stable(large.groupBy("t").agg(F.max(F.struct("size", "key"))["key"].alias("key")))
-    hubs = stable(large.join(standing, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(HUBS))).agg(F.max(F.struct("standing", "t"))["t"].alias("hub")).select("key", "hub"))
-    pairs = None
-    for level in range(0, DEEPER + 1, 4):
-        if level:
-            members = members.where(F.col("size") > small).select("t", "deep", F.xxhash64("key", F.substring("deep", 1, 2 * level)).alias("own"), "key")
-            # written first: then both sides of the join are plain shuffles, which skewed nodes can be split in
-            sizes = stable(members.groupBy("own").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-            members = stable(members.join(sizes, "own")).select("t", "deep", "key", "own", "size")
-        else:
-            members = members.withColumn("own", F.col("key"))
-        few = members.where(F.col("size") <= small).groupBy("own").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-        few = few.select(F.explode(F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-        many = members.where(F.col("size") > small)
-        leaders = stable(many.join(standing, "t").groupBy("own").agg(F.max(F.struct("standing", "t"))["t"].alias("leader")))
-        led = many.join(leaders, "own").where(F.col("t") != F.col("leader")).select(*_ordered("t", "leader"))
-        found = few.unionByName(led).distinct()
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct(), nodes, hubs
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _members(texts: DataFrame) -> DataFrame:
+    """From (t, keys, chars), one row for each different text: a row for each text in each node that it isn't alone in."""
+    leaves = texts.where(F.col("keys").isNotNull()).select("t", "keys", "chars", F.posexplode("keys").alias("tree", "key"))
+    nodes = stable(leaves.groupBy("key").agg(F.count("*").alias("size"), F.sum("chars").alias("chars")).where(F.col("size") > 1))
+    return stable(may_be_in(leaves.drop("chars"), bitmap_of(nodes, F.col("key")), F.col("key")).join(nodes, "key"))
+
+
+def _pairs(members: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) of text keys of nodes of up to ``small`` texts, but those that an earlier tree has in one node too."""
+    few = members.where(F.col("size") <= small).groupBy("key").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("t", "keys"))).alias("ts"))
+    few = few.select("tree", F.explode(F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    earlier = lambda side: F.slice(f"p.{side}.keys", F.lit(1), F.col("tree"))
+    met = F.exists(F.zip_with(earlier("a"), earlier("b"), lambda x, y: x == y), lambda x: x)
+    return few.where(~met).select(F.col("p.a.t").alias("a"), F.col("p.b.t").alias("b"))
+
+
+def _units(members: DataFrame, rows: DataFrame, small: int) -> DataFrame:
+    """Texts of larger nodes, once for each unit (key, i, j) of the blocks i and j of a node, in the order of units; rows: (t, text)."""
+    many = stable(members.where(F.col("size") > small))
+    needed = many.select("t").distinct()
+    hashed = F.xxhash64("t")
+    found = may_be_in(rows, bitmap_of(needed, hashed), hashed).groupBy("t").agg(F.first("text").alias("text"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("int")
+    cut = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = cut.join(found, "t").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "t", "keys", "text")
+    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _shared(sets: list[set], needed: np.ndarray) -> np.ndarray:
+    """Numbers of equal elements of the sets, for each two that are needed."""
+    ids, counts = {}, np.zeros(needed.shape, dtype=np.int64)
+    cols = np.array([ids.setdefault(x, len(ids)) for s in sets for x in s], dtype=np.int64)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(cols, minlength=len(ids)) > 1  # what only one set has is in no intersection
+    kept = often[cols]
+    rows, cols = rows[kept], (np.cumsum(often) - 1)[cols[kept]]
+    others = [(a, np.flatnonzero(row)) for a, row in enumerate(needed) if row.any()]
+    for at in range(0, int(often.sum()), BITS):
+        here = (cols >= at) & (cols < at + BITS)
+        width = -(-min(BITS, int(often.sum()) - at) // 64) * 64
+        bits = np.zeros((len(sets), width), dtype=bool)
+        bits[rows[here], cols[here] - at] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        for a, bs in others:
+            counts[a, bs] += np.bitwise_count(bits[a] & bits[bs]).sum(axis=1, dtype=np.int64)
+    return counts
+
+
+def _links_of_unit(texts: list[str], keys: np.ndarray, blocks: np.ndarray, tree: int, n: int, threshold: float) -> np.ndarray:
+    """Which two texts of a unit are linked, as a symmetric matrix; without the pairs that an earlier tree has in one node
+    and, where the unit has two blocks, those of one block, which are other units' work."""
+    needed = np.triu(np.ones((len(texts), len(texts)), dtype=bool), 1)
+    if blocks.min() != blocks.max():
+        needed &= blocks[:, None] != blocks[None, :]
+    for k in range(tree):
+        needed &= keys[:, None, k] != keys[None, :, k]
+    if not needed.any():
+        return needed
+    sets = [shingles(t, n) for t in texts]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    # sets of too different sizes can't reach the threshold
+    needed &= np.minimum(sizes[:, None], sizes[None, :]) / np.maximum(sizes[:, None], sizes[None, :]) >= threshold
+    both = _shared(sets, needed)
+    near = needed & (both > 0) & (both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1) >= threshold)
+    return near | near.T
+
+
+def _roots(near: np.ndarray) -> np.ndarray:
+    """For each text the first one that links lead to."""
+    roots = np.full(len(near), -1)
+    for k in range(len(near)):
+        if roots[k] < 0:
+            roots[k], todo = k, [k]
+            while todo:
+                new = np.flatnonzero(near[todo.pop()] & (roots < 0))
+                roots[new] = k
+                todo.extend(new)
+    return roots
+
+
+def _linking(n: int, threshold: float):
+    def links(unit: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        near = _links_of_unit(table["text"].to_pylist(), keys, table["block"].to_numpy(), table["tree"][0].as_py(), n, threshold)
+        degree = near.sum(axis=1)
+        some = np.flatnonzero(degree)
+        t = table["t"].combine_chunks()
+        return pa.RecordBatch.from_arrays([t.take(pa.array(some)), t.take(pa.array(_roots(near)[some])), pa.array(degree[some].astype(np.int64))], names=["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            units = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            start = 0
+            for k in range(len(units) + 1):
+                if k == len(units) or units[k] != last:
+                    if k > start:
+                        rows.append(batch.slice(start, k - start))
+                    if k < len(units):
+                        if rows:
+                            yield links(last, rows)
+                        last, rows, start = units[k], [], k
+        if rows:
+            yield links(last, rows)
+
+    return run
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -195,26 +269,18 @@ def _verified(rows: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     return stable(map_in_arrow(two, _verifying(n, threshold), "a binary, b binary, similarity double"))
 
 
-def _left_apart(links: DataFrame, nodes: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a text and a hub of its node that no chain of links joins."""
-    roots = stable(components(links))
-    of = lambda df, name: df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-    pairs = stable(of(nodes, "t")).join(stable(of(hubs, "hub")), "key").where(F.col("t_root") != F.col("hub_root"))
-    return pairs.select(*_ordered("t", "hub")).distinct()
-
-
 def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, similarity) pairs of different texts."""
+    """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, n): a chain
+    of links leads from text a to text b, and n of the links of a are counted here, each in one row of a."""
     depth = prefix_depth(threshold, target)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
-    signed = stable(map_in_arrow(rows, _signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, deep array<binary>"))
-    texts = signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("deep").alias("deep"))
-    pairs, nodes, hubs = _candidates(texts, small)
-    pairs = stable(pairs)
+    signed = stable(map_in_arrow(rows, _signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, chars bigint"))
+    members = _members(signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("chars").alias("chars")))
     texts_of = rows.select("t", "text")
-    links = _verified(texts_of, pairs, n, threshold)
-    more = stable(_left_apart(links, nodes, hubs).join(pairs, ["a", "b"], "left_anti"))
-    return signed, links.unionByName(_verified(texts_of, more, n, threshold))
+    few = _verified(texts_of, stable(_pairs(members, small)), n, threshold)
+    few = few.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n")))
+    many = stable(map_in_arrow(_units(members, texts_of, small), _linking(n, threshold), "a binary, b binary, n bigint"))
+    return signed, few.unionByName(many)
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> DataFrame:
@@ -222,14 +288,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target:
 
     Documents are in one class if verified links of at least ``threshold`` (Jaccard similarity of their sets of
     ``n``-word shingles) lead from one to the other; ``class_id`` is the smallest doc_id in it. ``n_links`` counts
-    the different texts with a verified link to this one among the candidates of the forest, ``copies`` the rows
-    with exactly this text. A text of fewer than n words is one shingle; a null text is an empty one, which has no
+    the different texts with a verified link to this one, all that share a node of the forest with it, ``copies`` the
+    rows with exactly this text. A text of fewer than n words is one shingle; a null text is an empty one, which has no
     shingle and only joins its copies. A null doc_id counts only where a class has no other. Repeated rows are
     copies; an empty table gives an empty one. The seed fixes the signatures, so reruns agree.
     """
     signed, links = jaccard_links(docs, n, threshold, target, small, seed)
-    ends = links.select(F.col("a").alias("t")).unionAll(links.select(F.col("b").alias("t")))
-    degree = ends.groupBy("t").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy(F.col("a").alias("t")).agg(F.sum("n").alias("n_links"))
     roots = components(links)
     texts = signed.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     texts = texts.join(degree, "t", "left").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))

@@ -100,3 +100,52 @@ def test_components(spark, seed):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def chained(seed, copies, words=120, most=6):
+    """Near copies, each an edit of any earlier one: some far apart, most linked to many."""
+    rng = random.Random(seed)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(words)]]
+    while len(texts) < copies:
+        w = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, most)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        texts.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def paired(seed, pairs, words=120):
+    """Texts of one template, about 0.6 alike; each has one link, to the next or the one before."""
+    rng = random.Random(seed)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(words)], []
+    for _ in range(pairs):
+        w = list(base)
+        for k in rng.sample(range(words), 3):
+            w[k] = f"e{rng.randrange(10**6)}"
+        texts.append(w)
+        w = list(w)
+        for k in rng.sample(range(words), 2):
+            w[k] = f"e{rng.randrange(10**6)}"
+        texts.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def test_links_of_a_large_group_are_all_found(spark):
+    rows = chained(7, 400, words=60, most=4) + [(1000 + i, t) for i, t in near_copies(8, 1, 300, words=60)]
+    want = brute(rows)
+    assert sum(w[2] for w in want) > 5_000 and len({w[1] for w in want}) > 2
+    assert run(spark, rows) == want
+
+
+def test_blocks_of_a_large_node(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 20)
+    rows = near_copies(9, 1, 120, words=60)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BITS", 64)
+    rng = random.Random(10)
+    sets = [set(rng.sample(range(400), rng.randrange(1, 200))) for _ in range(30)]
+    got = ngram_join._shared(sets, np.triu(np.ones((30, 30), dtype=bool), 1))
+    assert got.tolist() == [[len(a & b) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
