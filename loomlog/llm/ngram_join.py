@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import bitmap_of, map_in_arrow, may_be_in, stable, text_or_empty
 from loomlog.llm.components import components
 
-TREES, DEPTH = 16, 4
+TREES, DEPTH = 24, 4
 #: Pairs of nodes of up to this many texts are rows of their own.
 SMALL = 24
 #: Texts and characters that a block of a larger node is meant to hold.

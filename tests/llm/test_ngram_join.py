@@ -115,7 +115,7 @@ def chained(seed, copies, words=120, most=6):
 
 
 def paired(seed, pairs, words=120):
-    """Texts of one template, about 0.6 alike; each has one link, to the next or the one before."""
+    """Texts of one template, about 0.6 alike; few have more than one link, to the next or the one before."""
     rng = random.Random(seed)
     base, texts = [f"w{rng.randrange(5000)}" for _ in range(words)], []
     for _ in range(pairs):
@@ -149,3 +149,10 @@ def test_shared_counts(monkeypatch):
     sets = [set(rng.sample(range(400), rng.randrange(1, 200))) for _ in range(30)]
     got = ngram_join._shared(sets, np.triu(np.ones((30, 30), dtype=bool), 1))
     assert got.tolist() == [[len(a & b) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
+def test_single_links_within_a_template_are_found(spark):
+    rows = paired(12, 250)
+    want = brute(rows)
+    assert min(w[2] for w in want) == 1 and max(w[2] for w in want) < 4
+    assert run(spark, rows) == want
