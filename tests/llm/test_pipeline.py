@@ -2,7 +2,8 @@ from collections import Counter
 
 import duckdb
 import pytest
-from oddities import BASE, empty, odd
+from oddities import BASE, documents, empty, odd
+from test_ngram_join import brute, chained, paired
 
 import corpus_pipeline
 from loomlog.llm import queries
@@ -45,3 +46,9 @@ def test_run_and_every_query(spark):
         if name in queries.oracle_sql():
             want = duck.sql(queries.oracle_sql()[name])
             assert sorted(repr(tuple(r[c] for c in want.columns)) for r in rows) == sorted(map(repr, want.fetchall())), name
+
+
+def test_one_document_of_each_large_group_stays(spark):
+    rows = chained(11, 400, words=60, most=4) + [(1000 + i, t) for i, t in paired(12, 250)]
+    want = sorted(i for i, class_id, *_ in brute(rows) if i == class_id)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, documents(spark, rows), DATA).collect()) == want
