@@ -240,6 +240,19 @@ def _combined() -> re.Pattern:
 
 
 _ANY, _HINT = _combined(), re.compile(r"[0-9@]")
+_ONE = {name: re.compile(rf"(?<![A-Za-z0-9])(?:{pattern})(?![A-Za-z0-9])") for name, pattern, _ in KINDS}
+#: Characters of an IBAN by country; of other countries the whole candidate is tried.
+IBAN_CHARS = {c: int(n) for n, cs in {"15": "NO", "16": "BE", "18": "DK FI NL FO GL", "19": "SI MK", "20": "AT BA EE LT LU XK KZ", "21": "CH HR LI LV", "22": "BG DE GB IE ME RS", "23": "AE GI IL", "24": "AD CZ ES RO SE SK SA TN", "26": "IS TR", "25": "PT", "27": "FR GR IT MC SM", "28": "AL CY HU LB PL"}.items() for c in cs.split()}
+
+
+def _end(kind: str, text: str, start: int, stop: int) -> int:
+    """Where the candidate ends; an IBAN after its country's number of characters, if a word ends there."""
+    if kind == "iban" and (n := IBAN_CHARS.get(text[start : start + 2])):
+        for k in range(start, stop):
+            n -= text[k] != " "
+            if not n:
+                return k + 1 if k + 1 == stop or not text[k + 1].isalnum() else stop
+    return stop
 _BY_KIND = {name: f for name, _, f in KINDS}
 
 
@@ -256,12 +269,19 @@ class Pseudonyms:
         if not _HINT.search(text):
             return text, []
         out, spans, done = [], [], 0
-        for m in _ANY.finditer(text):
-            new = self.new(m.lastgroup, m[0]) if m.lastgroup in _BY_KIND else None
-            if new is not None:
-                out += [text[done : m.start()], new]
-                done = m.end()
-                spans.append((m.lastgroup, m.start(), m.end()))
+        at = 0
+        while m := _ANY.search(text, at):
+            at = m.start() + 1
+            for kind, one in _ONE.items():
+                if not (found := one.match(text, m.start())):
+                    continue
+                stop = _end(kind, text, m.start(), found.end())
+                new = self.new(kind, text[m.start() : stop])
+                if new is not None:
+                    out += [text[done : m.start()], new]
+                    done = at = stop
+                    spans.append((kind, m.start(), stop))
+                    break
         return ("".join([*out, text[done:]]), spans) if spans else (text, spans)
 
 
