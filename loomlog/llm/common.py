@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlog.scratch import shared_folder
+
 #: Rows that one window partition of a two-level rank or prefix sum is meant to hold.
 RANK_ROWS = 1024
 
@@ -22,14 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; only where none is set (tests) a temporary one is made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-"))
-    return sc.getCheckpointDir()
-
-
 def stable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: it no longer changes when tasks are run again, and lineage ends."""
     shared_folder(df.sparkSession)
@@ -56,8 +49,13 @@ def _give_back() -> None:
 
 
 def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of bounded bytes; workers give memory back after each task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """df.mapInArrow(run, schema) with batches of bounded bytes; workers give memory back after each task.
+
+    The bound is the session's own where it has set one.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(bound, BATCH_BYTES)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -105,6 +103,11 @@ def bitmap_of(df: DataFrame, hashed: Column) -> DataFrame:
     return df.select(piece.alias("_ll_piece"), place.alias("_ll_place")).groupBy("_ll_piece").agg(F.bitmap_construct_agg("_ll_place").alias("_ll_bits"))
 
 
+def _bit_is_set() -> Column:
+    byte = F.conv(F.hex(F.substring("_ll_bits", (F.floor(F.col("_ll_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (F.col("_ll_place") % 8).cast("int")) == 1
+
+
 def may_be_in(df: DataFrame, bitmap: DataFrame, hashed: Column) -> DataFrame:
     """Rows of df whose bit is set: all whose hash went into the bitmap, and few others while that is sparse.
 
@@ -112,5 +115,30 @@ def may_be_in(df: DataFrame, bitmap: DataFrame, hashed: Column) -> DataFrame:
     """
     piece, place = _bit(hashed)
     found = df.withColumns({"_ll_piece": piece, "_ll_place": place}).join(F.broadcast(bitmap), "_ll_piece")
-    byte = F.conv(F.hex(F.substring("_ll_bits", (F.floor(F.col("_ll_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return found.where(F.getbit(byte, (F.col("_ll_place") % 8).cast("int")) == 1).drop("_ll_piece", "_ll_place", "_ll_bits")
+    return found.where(_bit_is_set()).drop("_ll_piece", "_ll_place", "_ll_bits")
+
+
+#: Rows of one key from which a join deals them out, and into how many parts.
+HOT_ROWS, HOT_PARTS = 10_000, 256
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with keys, which has each value of ``on`` once and the number of its rows as ``count``.
+
+    Rows of a key with more than ``hot_rows`` are dealt over HOT_PARTS parts and meet copies of the key's one row,
+    so no key of any size lands in one task. Which keys are hot travels as a bitmap of bounded size; a key that shares
+    a bit with a hot one is dealt out too, which does no harm. Both are read more than once and must not change, see
+    :func:`stable`: a row's part is its place in its partition.
+    """
+    hot = bitmap_of(keys.where(F.col(count) > hot_rows), F.xxhash64(on))
+
+    def flagged(df: DataFrame) -> DataFrame:
+        piece, place = _bit(F.xxhash64(on))
+        found = df.withColumns({"_ll_piece": piece, "_ll_place": place}).join(F.broadcast(hot), "_ll_piece", "left")
+        return found.withColumn("_ll_hot", F.coalesce(_bit_is_set(), F.lit(False))).drop("_ll_piece", "_ll_place", "_ll_bits")
+
+    part = F.when(F.col("_ll_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    parts = F.sequence(F.lit(0), F.when(F.col("_ll_hot"), HOT_PARTS - 1).otherwise(0))
+    dealt = flagged(rows).withColumn("_ll_part", part).drop("_ll_hot")
+    copies = flagged(keys).withColumn("_ll_part", F.explode(parts)).drop("_ll_hot")
+    return dealt.join(copies, [on, "_ll_part"]).drop("_ll_part")

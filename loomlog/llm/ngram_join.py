@@ -1,15 +1,20 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-Each text has a MinHash signature of its word shingles, cut into trees. In a tree, texts are the leaves of a prefix
-trie over the values of its part of the signature. Two texts of similarity s share a prefix of d values in at least
-one of l trees with probability 1 - (1 - s^d)^l: prefixes are shortened from the full depth until this reaches the
-target recall at the threshold.
-
-All pairs of each node at that depth are verified on the shingle sets themselves, each pair in the first tree that
-has it in one node. Pairs of nodes of up to ``small`` texts are rows. Larger nodes are cut into blocks, by texts and
-by characters, and each two blocks are a unit of work of bounded size: the intersections are counted on bit rows,
-and only the texts' numbers of links and a spanning forest leave the unit. So no task holds a large node and no row
-is written for each of its pairs; the time still grows with the number of these pairs.
+Each text has a MinHash signature of its word shingles, cut into the labels of several trees. In a tree, texts are the
+leaves of a prefix trie: sorted by label, the texts below a node of any depth are one run. Two texts of similarity s
+share a prefix of d values in at least one of l trees with probability 1 - (1 - s^d)^l.
+
+Matched prefixes are shortened adaptively. The first round takes the full depth and verifies the pairs that share a
+node on the shingle sets themselves. The similarities of the links found say how many were missed (each link stands
+for one over its probability of being found), and how many any shorter prefix would miss. The next round takes the
+longest prefix that reaches the target recall, compares only pairs that no node of the round before has had together,
+and so on until the estimate, from all links so far, is there. A node of which all texts are below one longer prefix
+has nothing new and is left out.
+
+Pairs of nodes of up to ``small`` texts are rows. Larger nodes are cut into blocks, by texts and by characters, and
+each two blocks are a unit of work of bounded size: the intersections are counted on bit rows, and only the texts'
+numbers of links and a spanning forest leave the unit. So no task holds a large node and no row is written for each
+of its pairs; the time still grows with the number of these pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import bitmap_of, map_in_arrow, may_be_in, stable, text_or_empty
+from loomlog.llm.common import bitmap_of, map_in_arrow, may_be_in, spread_join, stable, text_or_empty
 from loomlog.llm.components import components
 
-TREES, DEPTH = 24, 4
+TREES, DEPTH = 20, 5
+#: Similarities of links are counted in so many steps from the threshold to 1.
+STEPS = 16
 #: Pairs of nodes of up to this many texts are rows of their own.
 SMALL = 24
 #: Texts and characters that a block of a larger node is meant to hold.
 BLOCK_TEXTS, BLOCK_CHARS = 512, 1 << 20
+LINKS = "a binary, b binary, n bigint, steps array<bigint>"
 #: Shingles whose bits are held at a time.
 BITS = 1 << 15
 
@@ -39,10 +47,23 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The full depth, shortened until pairs at the threshold are found with the target recall."""
-    while depth > 1 and recall(threshold, depth, trees) < target:
-        depth -= 1
+def estimated_recall(links: list[int], threshold: float, found_at: int, depth: int) -> float:
+    """Share of all links that prefixes of ``depth`` find, from the numbers of links by step that ``found_at`` has found.
+
+    A step counts as its lower end, and one link at the threshold is added: what few links say is not trusted.
+    """
+    steps = [threshold + k * (1 - threshold) / STEPS for k in range(STEPS)]
+    there = [(n + (k == 0)) / recall(s, found_at) for k, (n, s) in enumerate(zip(links, steps, strict=True))]
+    return sum(n * recall(s, depth) for n, s in zip(there, steps, strict=True)) / sum(there)
+
+
+def next_depth(links: list[int], threshold: float, target: float, depth: int) -> int:
+    """The longest prefix below ``depth`` that is expected to reach the target recall; ``depth`` if it does so itself; 1 at least."""
+    while depth > 1 and estimated_recall(links, threshold, depth, depth) < target:
+        shorter = depth - 1
+        while shorter > 1 and estimated_recall(links, threshold, depth, shorter) < target:
+            shorter -= 1
+        return shorter
     return depth
 
 
@@ -93,21 +114,7 @@ class Signer:
         return out
 
 
-def _tree_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """For each text and tree: 64 bits of its prefix of ``depth`` values."""
-    values = signatures.reshape(len(signatures), TREES, DEPTH).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), values.shape[:2]) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(depth):
-        key = (key ^ values[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
-def _lists(rows: int, flat: pa.Array, empty: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * TREES), flat, mask=pa.array(empty))
-
-
-def _signing(n: int, depth: int, seed: int):
+def _signing(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n, seed)
         for batch in batches:
@@ -115,10 +122,11 @@ def _signing(n: int, depth: int, seed: int):
             start = total = 0
             for k in range(len(texts) + 1):
                 if k > start and (k == len(texts) or total > 1 << 18):
-                    keys = _tree_keys(signer.sign(texts[start:k]), depth)
-                    empty = np.array([not t or t.isspace() for t in texts[start:k]])
+                    # big-endian: labels sort as their values do
+                    signs = signer.sign(texts[start:k]).astype(">u4")
+                    labels = [None if not t or t.isspace() else s.tobytes() for t, s in zip(texts[start:k], signs, strict=True)]
                     chars = pa.array([len(t) for t in texts[start:k]], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start), _lists(k - start, pa.array(keys.ravel()), empty), chars], names=["doc_id", "t", "keys", "chars"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start), pa.array(labels, pa.binary()), chars], names=["doc_id", "t", "labels", "chars"])
                     start, total = k, 0
                 if k < len(texts):
                     total += len(texts[k])
@@ -126,6 +134,16 @@ def _signing(n: int, depth: int, seed: int):
     return run
 
 
+def _label(tree: Column, depth: int = DEPTH) -> Column:
+    """The first ``depth`` values of a tree's label."""
+    return F.substring("labels", tree * (4 * DEPTH) + 1, F.lit(4 * depth))
+
+
+def _node_keys(depth: int) -> Column:
+    """For each tree a hash of the prefix; an equal hash of other prefixes only adds pairs to verify."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: F.xxhash64(tree, _label(tree, depth)))
+
+
 def _verifying(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, set()
@@ -148,33 +166,42 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _members(texts: DataFrame) -> DataFrame:
-    """From (t, keys, chars), one row for each different text: a row for each text in each node that it isn't alone in."""
-    leaves = texts.where(F.col("keys").isNotNull()).select("t", "keys", "chars", F.posexplode("keys").alias("tree", "key"))
-    nodes = stable(leaves.groupBy("key").agg(F.count("*").alias("size"), F.sum("chars").alias("chars")).where(F.col("size") > 1))
+def _members(texts: DataFrame, depth: int, before: int | None) -> DataFrame:
+    """A row for each text in each node of ``depth`` that joins texts which no node of depth ``before`` has had together.
+
+    texts: (t, labels, chars), one row for each different text. ``keys`` are the text's nodes in all trees, ``seen``
+    those of the round before (none in the first).
+    """
+    seen = _node_keys(before) if before else F.array().cast("array<bigint>")
+    leaves = texts.where(F.col("labels").isNotNull()).select("t", "labels", "chars", _node_keys(depth).alias("keys"), seen.alias("seen"))
+    leaves = leaves.select("t", "chars", "labels", "keys", "seen", F.posexplode("keys").alias("tree", "key"))
+    leaves = leaves.withColumn("label", _label(F.col("tree"))).drop("labels")
+    child = F.get("seen", F.col("tree"))
+    nodes = leaves.groupBy("key").agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), F.min(child).alias("low"), F.max(child).alias("high"))
+    nodes = stable(nodes.where((F.col("size") > 1) & (F.col("low").isNull() | (F.col("low") != F.col("high")))).drop("low", "high"))
     return stable(may_be_in(leaves.drop("chars"), bitmap_of(nodes, F.col("key")), F.col("key")).join(nodes, "key"))
 
 
 def _pairs(members: DataFrame, small: int) -> DataFrame:
-    """Pairs (a, b) of text keys of nodes of up to ``small`` texts, but those that an earlier tree has in one node too."""
-    few = members.where(F.col("size") <= small).groupBy("key").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("t", "keys"))).alias("ts"))
+    """Pairs (a, b) of text keys of nodes of up to ``small`` texts, but those that an earlier tree or round has in one node too."""
+    few = members.where(F.col("size") <= small).groupBy("key").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("label", "t", "keys", "seen"))).alias("ts"))
     few = few.select("tree", F.explode(F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    meet = lambda x, y: F.exists(F.zip_with(x, y, lambda u, v: u == v), lambda u: u)
     earlier = lambda side: F.slice(f"p.{side}.keys", F.lit(1), F.col("tree"))
-    met = F.exists(F.zip_with(earlier("a"), earlier("b"), lambda x, y: x == y), lambda x: x)
+    met = meet(earlier("a"), earlier("b")) | meet(F.col("p.a.seen"), F.col("p.b.seen"))
     return few.where(~met).select(F.col("p.a.t").alias("a"), F.col("p.b.t").alias("b"))
 
 
-def _units(members: DataFrame, rows: DataFrame, small: int) -> DataFrame:
-    """Texts of larger nodes, once for each unit (key, i, j) of the blocks i and j of a node, in the order of units; rows: (t, text)."""
-    many = stable(members.where(F.col("size") > small))
+def _units(many: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts of larger nodes (members of these), once for each unit (key, i, j) of the blocks i and j of a node, in the order of units and labels; rows: (t, text)."""
     needed = many.select("t").distinct()
     hashed = F.xxhash64("t")
     found = may_be_in(rows, bitmap_of(needed, hashed), hashed).groupBy("t").agg(F.first("text").alias("text"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("int")
     cut = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = cut.join(found, "t").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "t", "keys", "text")
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    units = cut.join(found, "t").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "label", "t", "keys", "seen", "text")
+    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "label", "t")
 
 
 def _shared(sets: list[set], needed: np.ndarray) -> np.ndarray:
@@ -197,23 +224,30 @@ def _shared(sets: list[set], needed: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _links_of_unit(texts: list[str], keys: np.ndarray, blocks: np.ndarray, tree: int, n: int, threshold: float) -> np.ndarray:
-    """Which two texts of a unit are linked, as a symmetric matrix; without the pairs that an earlier tree has in one node
-    and, where the unit has two blocks, those of one block, which are other units' work."""
+def _links_of_unit(texts: list[str], keys: np.ndarray, seen: np.ndarray, blocks: np.ndarray, tree: int, n: int, threshold: float) -> np.ndarray:
+    """Similarities of the linked texts of a unit as a symmetric matrix, 0 for the others; without the pairs that an earlier
+    tree or round has in one node and, where the unit has two blocks, those of one block, which are other units' work."""
     needed = np.triu(np.ones((len(texts), len(texts)), dtype=bool), 1)
     if blocks.min() != blocks.max():
         needed &= blocks[:, None] != blocks[None, :]
-    for k in range(tree):
-        needed &= keys[:, None, k] != keys[None, :, k]
+    for same in [*keys[:, :tree].T, *seen.T]:
+        needed &= same[:, None] != same[None, :]
+    alike = np.zeros(needed.shape)
     if not needed.any():
-        return needed
+        return alike
     sets = [shingles(t, n) for t in texts]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     # sets of too different sizes can't reach the threshold
     needed &= np.minimum(sizes[:, None], sizes[None, :]) / np.maximum(sizes[:, None], sizes[None, :]) >= threshold
     both = _shared(sets, needed)
-    near = needed & (both > 0) & (both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1) >= threshold)
-    return near | near.T
+    alike = np.where(needed, both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1), 0.0)
+    alike[alike < threshold] = 0
+    return np.maximum(alike, alike.T)
+
+
+def _steps(alike: np.ndarray, threshold: float) -> np.ndarray:
+    """The step of each similarity."""
+    return np.clip(((alike - threshold) / (1 - threshold) * STEPS).astype(np.int64), 0, STEPS - 1) if threshold < 1 else np.zeros(alike.shape, dtype=np.int64)
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -233,11 +267,17 @@ def _linking(n: int, threshold: float):
     def links(unit: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        near = _links_of_unit(table["text"].to_pylist(), keys, table["block"].to_numpy(), table["tree"][0].as_py(), n, threshold)
+        seen = table["seen"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        alike = _links_of_unit(table["text"].to_pylist(), keys, seen, table["block"].to_numpy(), table["tree"][0].as_py(), n, threshold)
+        near = alike > 0
         degree = near.sum(axis=1)
         some = np.flatnonzero(degree)
         t = table["t"].combine_chunks()
-        return pa.RecordBatch.from_arrays([t.take(pa.array(some)), t.take(pa.array(_roots(near)[some])), pa.array(degree[some].astype(np.int64))], names=["a", "b", "n"])
+        counts = np.zeros((len(alike), STEPS), dtype=np.int64)
+        a, b = np.nonzero(np.triu(near))
+        np.add.at(counts, (a, _steps(alike[a, b], threshold)), 1)
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * STEPS), pa.array(counts[some].ravel()))
+        return pa.RecordBatch.from_arrays([t.take(pa.array(some)), t.take(pa.array(_roots(near)[some])), pa.array(degree[some].astype(np.int64)), counts], names=["a", "b", "n", "steps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
@@ -269,39 +309,63 @@ def _verified(rows: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     return stable(map_in_arrow(two, _verifying(n, threshold), "a binary, b binary, similarity double"))
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, n): a chain
-    of links leads from text a to text b, and n of the links of a are counted here, each in one row of a."""
-    depth = prefix_depth(threshold, target)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
-    signed = stable(map_in_arrow(rows, _signing(n, depth, seed), "doc_id bigint, t binary, keys array<bigint>, chars bigint"))
-    members = _members(signed.groupBy("t").agg(F.first("keys").alias("keys"), F.first("chars").alias("chars")))
-    texts_of = rows.select("t", "text")
+def _round(texts: DataFrame, texts_of: DataFrame, depth: int, before: int | None, n: int, threshold: float, small: int) -> tuple[DataFrame, list[int]]:
+    """Links (a, b, n) that prefixes of ``depth`` add to those of ``before``, and their number by step of similarity."""
+    members = _members(texts, depth, before)
     few = _verified(texts_of, stable(_pairs(members, small)), n, threshold)
-    few = few.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n")))
-    many = stable(map_in_arrow(_units(members, texts_of, small), _linking(n, threshold), "a binary, b binary, n bigint"))
-    return signed, few.unionByName(many)
-
-
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9995, small: int = SMALL, seed: int = 0) -> DataFrame:
+    many = members.where(F.col("size") > small)
+    if many.isEmpty():
+        many = members.sparkSession.createDataFrame([], LINKS)
+    else:
+        many = stable(map_in_arrow(_units(many, texts_of), _linking(n, threshold), LINKS))
+    step = F.least(F.greatest(F.floor((F.col("similarity") - threshold) / max(1 - threshold, 1e-9) * STEPS), F.lit(0)), F.lit(STEPS - 1)).cast("int")
+    counted = few.groupBy(step.alias("step")).agg(F.count("*").alias("n")).unionByName(many.select(F.posexplode("steps").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")))
+    by_step = {r["step"]: r["n"] for r in counted.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    one = F.lit(1).cast("long").alias("n")
+    links = few.select("a", "b", one).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), one)).unionByName(many.select("a", "b", "n"))
+    return links, [by_step.get(k, 0) for k in range(STEPS)]
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.99999, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
+    """(signed, links, rounds): signed has (doc_id, t, ...) for each row, t being the key of its text; links (a, b, n): a chain
+    of links leads from text a to text b, and n of the links of a are counted here, each in one row of a; rounds:
+    each round's depth and the recall that was estimated after it. ``target=1`` shortens prefixes to one value, at
+    which a pair of similarity 0.8 is missed with probability 0.2^20."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("t"), "text")
+    signed = stable(map_in_arrow(rows, _signing(n, seed), "doc_id bigint, t binary, labels binary, chars bigint"))
+    texts = signed.groupBy("t").agg(F.first("labels").alias("labels"), F.first("chars").alias("chars"))
+    links, counts, rounds, depth, before = None, [0] * STEPS, [], DEPTH, None
+    while True:
+        new, more = _round(texts, rows.select("t", "text"), depth, before, n, threshold, small)
+        links, counts = new if links is None else links.unionByName(new), [a + b for a, b in zip(counts, more, strict=True)]
+        rounds.append((depth, estimated_recall(counts, threshold, depth, depth)))
+        shorter = next_depth(counts, threshold, target, depth)
+        if shorter == depth:
+            return signed, links, rounds
+        depth, before = shorter, depth
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.99999, small: int = SMALL, seed: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, n_links, copies, t.
 
     Documents are in one class if verified links of at least ``threshold`` (Jaccard similarity of their sets of
     ``n``-word shingles) lead from one to the other; ``class_id`` is the smallest doc_id in it. ``n_links`` counts
     the different texts with a verified link to this one, all that share a node of the forest with it, ``copies`` the
     rows with exactly this text. A text of fewer than n words is one shingle; a null text is an empty one, which has no
-    shingle and only joins its copies. A null doc_id counts only where a class has no other. Repeated rows are
-    copies; an empty table gives an empty one. The seed fixes the signatures, so reruns agree.
+    shingle and only joins its copies. Texts of any length are signed and verified whole. A null doc_id counts only
+    where a class has no other. Repeated rows are copies and get a row each; pairs at the threshold itself are links;
+    other columns of docs, whatever they are called, are not looked at; an empty table gives an empty one. The seed
+    fixes the signatures, so reruns agree.
     """
-    signed, links = jaccard_links(docs, n, threshold, target, small, seed)
+    signed, links, _ = jaccard_links(docs, n, threshold, target, small, seed)
     degree = links.groupBy(F.col("a").alias("t")).agg(F.sum("n").alias("n_links"))
     roots = components(links)
     texts = signed.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     texts = texts.join(degree, "t", "left").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     texts = stable(texts)
     least = texts.groupBy("root").agg(F.min("least").alias("class_id"))
-    texts = texts.join(least, "root").select("t", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    return signed.select("doc_id", "t").join(texts, "t").select("doc_id", "class_id", "n_links", "copies", "t")
+    texts = stable(texts.join(least, "root").select("t", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"))
+    return spread_join(signed.select("doc_id", "t"), texts, "t", "copies").select("doc_id", "class_id", "n_links", "copies", "t")
 
 
 #: DuckDB's version of op3: all pairs that share a shingle, and reachability over the links.

@@ -56,11 +56,35 @@ def test_small_groups_equal_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_a_large_group_keeps_its_classes(spark):
+def test_all_links_of_a_group_in_units_and_rows(spark):
     rows = near_copies(3, 1, 150, edits=3) + [(1000 + i, t) for i, t in near_copies(4, 20, 1)]
-    got, want = run(spark, rows, small=6), brute(rows)
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert all(g[2] <= w[2] and (g[2] > 0) == (w[2] > 0) for g, w in zip(got, want, strict=True))
+    assert run(spark, rows, small=6) == brute(rows)
+
+
+def test_a_dense_group_of_200(spark):
+    rng = random.Random(20)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(f"e{i}" if k == at else w for k, w in enumerate(base))) for i, at in enumerate(rng.choices(range(100), k=200))]
+    want = brute(rows)
+    assert sum(x[2] for x in want) == 2 * 19_900
+    assert run(spark, rows) == want
+
+
+def test_a_chain_of_600(spark):
+    words = [f"w{k}" for k in range(600 * 4 + 120)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(600)]
+    want = brute(rows)
+    assert {x[1] for x in want} == {0} and max(x[2] for x in want) < 20
+    assert run(spark, rows) == want
+
+
+def test_prefixes_are_shortened_as_the_links_demand(spark):
+    few = documents(spark, near_copies(21, 3, 3))
+    assert [d for d, _ in ngram_join.jaccard_links(few)[2]] == [5, 3]
+    alike = documents(spark, [(i, t) for i, (_, t) in enumerate(near_copies(22, 1, 200, words=300, edits=3))])
+    rounds = ngram_join.jaccard_links(alike, target=0.9999)[2]
+    assert [d for d, _ in rounds] == [5] and rounds[-1][1] >= 0.9999
+    assert ngram_join.jaccard_links(few, target=1.0)[2][-1][0] == 1
 
 
 def test_odd_and_empty_tables(spark):
@@ -70,8 +94,11 @@ def test_odd_and_empty_tables(spark):
 
 
 def test_depth_and_recall():
-    assert ngram_join.prefix_depth(0.8, 0.9995) == 4 and ngram_join.prefix_depth(0.5, 0.999) < 4
-    assert ngram_join.recall(0.8, 4) > 0.9995
+    nothing = [0] * ngram_join.STEPS
+    assert ngram_join.next_depth(nothing, 0.8, 0.99999, 5) == 3  # what is not known is taken to lie at the threshold
+    assert ngram_join.next_depth([0] * 15 + [10**6], 0.8, 0.99999, 5) == 5
+    assert ngram_join.next_depth([10**6] + [0] * 15, 0.8, 0.9999, 5) == 4
+    assert ngram_join.recall(0.8, 3) > 0.999999 > ngram_join.recall(0.8, 4) > 0.9999
 
 
 def test_signatures_estimate_similarity():
