@@ -8,6 +8,10 @@ Variants of all lines would be as many as the corpus has characters. But lines o
 are one edit apart share either the first m // 2 characters or the last m - m // 2. So each line is first hashed by
 these halves, four keys in all, and only lines that share a half emit variants: of the other half alone, joined
 within the shared one. That loses no pair.
+
+A half is cut into pieces of about the square root of its length. The hash of a variant is made of a running hash of
+the pieces before, one of the pieces after, and the one piece that lacks a character, so all variants of a line of m
+characters take time m ** 1.5, not its square: a line of a million characters is no more than a thousand short ones.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import bitmap_of, may_be_in, stable
 
-#: Shorter lines count as copies only when they are equal: one edit is too large a part of them.
+#: By default shorter lines count as copies only when they are equal: one edit is too large a part of them ("1." and "2.").
 MIN_CHARS = 20
 
 
@@ -37,10 +41,10 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row for each different line: h1, h2, n, keys, first (doc_id, pos), copies."""
     n = F.char_length("line")
-    rows = _lines(docs).select("doc_id", "pos", "h1", "h2", n.alias("n"), F.when(n >= MIN_CHARS, _half_keys(F.col("line"), n)).alias("keys"))
+    rows = _lines(docs).select("doc_id", "pos", "h1", "h2", n.alias("n"), F.when(n >= min_chars, _half_keys(F.col("line"), n)).alias("keys"))
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
@@ -57,6 +61,21 @@ def _sharing_a_half(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stable(found.dropDuplicates(["h1", "h2", "place"]))
 
 
+def _pieces(text: Column, size: Column) -> Column:
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
+
+
+def _running(pieces: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... pieces."""
+    return F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda done, piece: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), piece))))
+
+
+def _framed(pieces: Column, heads: Column, tails: Column) -> Column:
+    """Each piece with the running hash of those before it and, from the other end, of those after it."""
+    n = F.size(pieces)
+    return F.arrays_zip(pieces.alias("piece"), F.slice(heads, F.lit(1), n).alias("head"), F.reverse(F.slice(tails, F.lit(1), n)).alias("tail"))
+
+
 def _near_pairs(sharing: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of (h1, h2, first) with an equal variant, and how: without the character ``at`` both are equal, or, if b is ``longer``, b is a."""
     m = F.col("n") - F.floor(F.col("place") / 2).cast("int")
@@ -64,15 +83,22 @@ def _near_pairs(sharing: DataFrame) -> DataFrame:
     is_head = F.col("place") % 2 == 0
     # the half that may differ: what follows the shared head, or what comes before the shared tail
     rest = F.when(is_head, F.substring("line", first + 1, F.col("n"))).otherwise(F.substring("line", F.lit(1), F.col("n") - (m - first)))
-    rows = sharing.select(F.struct("first", "h1", "h2").alias("id"), "key", (F.col("place") >= 2).alias("longer"), rest.alias("rest"), F.when(is_head, first).otherwise(0).alias("before")).withColumn("r", F.char_length("rest"))
-    without = lambda i: F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.col("r")))
+    size = F.pow(F.lit(2), F.greatest(F.lit(6), F.ceil(F.log2(F.greatest(m, F.lit(1))) / 2))).cast("int")
+    rows = sharing.select(F.struct("first", "h1", "h2").alias("id"), "key", (F.col("place") >= 2).alias("longer"), rest.alias("rest"), F.when(is_head, first).otherwise(0).alias("before"), size.alias("width"))
+    cut = rows.withColumn("pieces", _pieces(F.col("rest"), F.col("width"))).withColumns({"heads": _running(F.col("pieces")), "tails": _running(F.reverse("pieces"))})
+    each = cut.select("id", "key", "longer", "before", "width", F.posexplode(_framed(F.col("pieces"), F.col("heads"), F.col("tails"))).alias("q", "f")).select("id", "key", "longer", (F.col("before") + F.col("q") * F.col("width")).alias("before"), "f.*")
+    without = lambda i: F.concat(F.substring("piece", F.lit(1), i - 1), F.substring("piece", i + 1, F.char_length("piece")))
     # a replaced character: both lines without the one at the same place are equal; an added one: the longer without it is the other
-    variants = F.transform(F.sequence(F.lit(1), F.col("r")), lambda i: F.xxhash64("key", without(i), F.when(F.col("longer"), 0).otherwise(i)))
-    emitted = rows.where(F.col("r") > 0).select("id", "longer", "before", F.posexplode(variants).alias("k", "variant")).select("id", "longer", "variant", (F.col("before") + F.col("k") + 1).alias("at"))
+    place = lambda i: F.when(F.col("longer"), 0).otherwise(F.col("before") + i)
+    variants = F.transform(F.sequence(F.lit(1), F.char_length("piece")), lambda i: F.xxhash64("key", "head", without(i), "tail", place(i)))
+    emitted = each.select("id", "longer", "before", F.posexplode(variants).alias("k", "variant")).select("id", "longer", "variant", (F.col("before") + F.col("k") + 1).alias("at"))
     replaced = emitted.where(~F.col("longer")).select("id", "variant", "at")
     leads = replaced.groupBy("variant").agg(F.min("id").alias("lead"), F.count("*").alias("lines")).where(F.col("lines") > 1)
     added = emitted.where(F.col("longer")).select(F.col("id").alias("b"), "variant", "at")
-    whole = rows.where(~F.col("longer")).select(F.col("id").alias("a"), F.xxhash64("key", "rest", F.lit(0)).alias("variant"))
+    # the shorter line as the longer one's variant in each piece: after that piece its characters are one place further on
+    moved = cut.where(~F.col("longer")).withColumn("moved", _pieces(F.concat(F.lit("-"), F.col("rest")), F.col("width"))).withColumn("after", _running(F.reverse("moved")))
+    whole = moved.select(F.col("id").alias("a"), "key", F.explode(_framed(F.col("moved"), F.col("heads"), F.col("after"))).alias("f")).select("a", "key", "f.*")
+    whole = whole.select("a", F.xxhash64("key", "head", F.substring("piece", F.lit(2), F.char_length("piece")), "tail", F.lit(0)).alias("variant"))
     pairs = replaced.join(leads, "variant").where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"), "at", F.lit(False).alias("longer"))
     return pairs.unionByName(whole.join(added, "variant").select("a", "b", "at", F.lit(True).alias("longer"))).distinct()
 
@@ -91,18 +117,19 @@ def _near_copies(sharing: DataFrame) -> DataFrame:
     return later.where(F.col("id").isNotNull()).select("id.*").select("h1", "h2", "first").dropDuplicates(["h1", "h2"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with copies of lines taken out of ``text``, and n_lines (not blank) and n_dropped.
 
     Lines come in the order of (doc_id, place in the text). A line goes if an earlier one is equal to it, or is
-    within one edit and both have MIN_CHARS characters at least; whether the earlier one itself stays does not
-    matter. Blank lines stay. A null text stays null and an empty one empty, with 0 lines. Rows that repeat a
+    within one edit and both have ``min_chars`` characters at least (0: all lines are compared); whether the earlier
+    one itself stays does not matter. Blank lines stay. A null text stays null and an empty one empty, with 0 lines. Rows that repeat a
     doc_id and text are treated alike, and different texts with the same doc_id share their places: the same line
     at the same place of them is no copy. A null doc_id comes first. Other columns stay, clashing ones are replaced;
-    an empty table gives an empty one. Lines that share a half with another cost the square of their length.
+    an empty table gives an empty one. Texts and lines may be of any length: those that share a half with another
+    cost the power 1.5 of their length, the others are linear.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    classes = stable(_classes(docs))
+    classes = stable(_classes(docs, min_chars))
     near = stable(_near_copies(_sharing_a_half(docs, classes)))
     again = classes.where(F.col("copies") > 1).select("h1", "h2", "first", F.lit(False).alias("near")).join(near, ["h1", "h2"], "left_anti")
     marked = stable(again.unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near"))))

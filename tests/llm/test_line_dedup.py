@@ -18,7 +18,7 @@ def within_one(a, b):
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[k:] == b[k + 1 :]
 
 
-def brute(rows):
+def brute(rows, min_chars=line_dedup.MIN_CHARS):
     """Texts after comparing every line with all earlier ones."""
     lines = sorted(((i if i is not None else -1, p, line) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" ")), key=lambda x: x[:2])
     out = []
@@ -31,7 +31,7 @@ def brute(rows):
             if line.strip(" "):
                 n += 1
                 here = (i if i is not None else -1, p)
-                if any(line == x or (min(len(line), len(x)) >= line_dedup.MIN_CHARS and within_one(line, x)) for j, q, x in lines if (j, q) < here):
+                if any(line == x or (min(len(line), len(x)) >= min_chars and within_one(line, x)) for j, q, x in lines if (j, q) < here):
                     gone += 1
                     continue
             kept.append(line)
@@ -39,8 +39,8 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def run(df):
-    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+def run(df, **more):
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df, **more).collect()), key=repr)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -81,6 +81,33 @@ def test_long_lines(spark):
     assert run(documents(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("least", [0, 1, 3])
+def test_short_lines_are_compared_if_asked(spark, least):
+    rng = random.Random(least)
+    rows = [(i, "\n".join("".join(rng.choice("abé") for _ in range(rng.randint(0, 6))) for _ in range(2))) for i in range(12)] + [(20, "1."), (21, "2."), (22, "x"), (23, "y")]
+    assert run(documents(spark, rows), min_chars=least) == brute(rows, least)
+
+
+def test_edits_beside_the_borders_of_pieces(spark):
+    rng = random.Random(11)
+    base = "".join(rng.choice("abc文😀 ") for _ in range(399)) + "."
+    rows = [(0, base)]
+    for k in (0, 1, 62, 63, 64, 65, 127, 128, 129, 199, 200, 201, 262, 263, 264, 265, 327, 328, 391, 392, 398, 399):
+        rows += [(len(rows), base[:k] + "#" + base[k + 1 :]), (len(rows) + 1, base[:k] + base[k + 1 :]), (len(rows) + 2, base[:k] + "#" + base[k:])]
+    assert run(documents(spark, rows)) == brute(rows)
+    assert all(r[3] == 1 for r in run(documents(spark, rows)) if r[0])
+
+
+def test_lines_of_200_000_characters_take_seconds(spark):
+    import time
+
+    base = "".join(random.Random(12).choices("abcdefgh ", k=199_999)) + "."
+    rows = [(0, base), (1, base[:150_000] + "#" + base[150_001:]), (2, base[:10] + base[11:]), (3, base[:-7] + "##" + base[-7:])]
+    start = time.monotonic()
+    assert [(r[0], r[3]) for r in run(documents(spark, rows))] == [(0, 0), (1, 1), (2, 1), (3, 0)]
+    assert time.monotonic() - start < 30
+
+
 def test_odd_and_empty_tables(spark):
     df = odd(spark)
     got = line_dedup.dedup_lines(df)
