@@ -39,6 +39,7 @@ def test_hits_are_verified():
     a = digest(1)
     index.insert(a, 1)
     assert index.find(a[:16] + bytes(16)) is None and index.false_hits == 1
+    assert not index.remove(a[:16] + bytes(16)) and index.find(a) == [a, 1, 1]
 
 
 def test_filter_alone_seldom_errs():
@@ -82,15 +83,34 @@ def test_odd_and_empty_tables(spark):
     assert run(empty(spark)) == []
 
 
-def test_deletion_from_a_table_index(spark):
-    rows = [(i, f"t{i % 7}") for i in range(50)]
-    gone = [r for r in rows if r[0] % 7 in (1, 2)] + [r for r in rows if r[0] % 7 == 3][:2] + [(99, "never there")]
-    left = exact_dedup.without(exact_dedup.live_digests(documents(spark, rows)), documents(spark, gone))
-    got = {bytes(r["digest"]): r["n"] for r in left.collect()}
-    counts = {}
-    for r in rows:
-        counts[r[1]] = counts.get(r[1], 0) + 1
+@pytest.mark.parametrize("seed", range(3))
+def test_deletion_from_a_table_index(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([i, i, i, None]), f"t{rng.randrange(12)}") for i in range(60)]
+    gone = rng.sample(rows, 25) + [(99, "never there"), (999, rows[0][1]), rows[1], rows[1]]
+    of = lambda x: exact_dedup.digests(documents(spark, x))
+    left = exact_dedup.without(exact_dedup.live_digests(of(rows)), of(rows), of(gone))
+    stay = list(rows)
     for r in gone:
-        if r[1] in counts:
-            counts[r[1]] -= 1
-    assert got == {hashlib.sha256(t.encode()).digest(): n for t, n in counts.items() if n}
+        if r in stay:
+            stay.remove(r)
+    want = {}
+    for i, t in stay:
+        want.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    want = {d: (max((x for x in own if x is not None), default=None), len(own)) for d, own in want.items()}
+    assert {bytes(r["digest"]): (r["largest"], r["n"]) for r in left.collect()} == want
+
+
+def test_the_keeper_can_be_deleted(spark):
+    rows = exact_dedup.digests(documents(spark, [(1, "x"), (9, "X"), (5, "y")]))
+    left = exact_dedup.without(exact_dedup.live_digests(rows), rows, exact_dedup.digests(documents(spark, [(9, "X")])))
+    assert sorted((r["largest"], r["n"]) for r in left.collect()) == [(1, 1), (5, 1)]
+
+
+def test_a_hot_group_is_dealt_out(spark):
+    from loomlog.llm.common import spread_join
+
+    rows = exact_dedup.digests(documents(spark, [(i, "hot" if i % 3 else f"t{i}") for i in range(300)]))
+    joined = spread_join(rows, exact_dedup.live_digests(rows), "digest", "n", hot_rows=50)
+    assert sorted(r["doc_id"] for r in joined.collect()) == list(range(300))
+    assert {r["n"] for r in joined.where("doc_id % 3 != 0").collect()} == {200}
