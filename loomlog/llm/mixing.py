@@ -58,10 +58,12 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
     """rows: (doc_id, source, size, weight, ...) -> with source_size, target, times, taken.
 
     ``times`` is how often the mix repeats the document (0 to ``most``, rounded up), ``taken`` its words in the mix.
-    Each source's taken words differ from its target by half a document at most. The draw depends on doc_id and
-    seed alone, so reruns agree. A null size counts as 0, a null or smaller weight as LEAST_WEIGHT; a null source
-    is a source; repeated rows are separate documents that draw the same key; an empty table gives an empty one.
-    Prefix sums have two levels, so a source of any size is spread over tasks.
+    Each source's taken words differ from its target by half a document at most. A document without words is taken
+    in complete epochs, and in the fractional selection only while some of the budget is left. The draw depends on
+    doc_id and seed alone, so reruns agree. A null size counts as 0, a null or smaller weight as LEAST_WEIGHT; a null
+    source is a source; repeated rows, and rows without a doc_id, are separate documents that draw the same key, ties
+    going by size; clashing columns are replaced, others stay; an empty table gives an empty one. Prefix sums have two
+    levels, so a source of any size is spread over tasks.
     """
     rows = rows.drop("source_size", "target", "times", "taken").withColumns({
         "size": F.coalesce(F.col("size"), F.lit(0)).cast("long"),
@@ -85,12 +87,13 @@ def mix(rows: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
     all_rows = keyed.join(sums, keyed["source"].eqNullSafe(sums["_ll_source"]) & (keyed["_ll_b"] == sums["_ll_bucket"])).drop("_ll_source", "_ll_bucket")
     earlier = Window.partitionBy("source", "_ll_b").orderBy("_ll_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("_ll_base") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    all_rows = all_rows.withColumn("times", (F.col("_ll_epochs") + (prefix + F.col("size") / 2 <= F.col("_ll_rest")).cast("int")).cast("int"))
+    some = (F.col("_ll_rest") > 0) & (prefix + F.col("size") / 2 <= F.col("_ll_rest"))
+    all_rows = all_rows.withColumn("times", (F.col("_ll_epochs") + some.cast("int")).cast("int"))
     return all_rows.withColumn("taken", F.col("size") * F.col("times")).drop("_ll_w", "_ll_u", "_ll_key", "_ll_b", "_ll_base", "_ll_epochs", "_ll_rest")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """What mix() needs of documents: doc_id, source, size in words, quality weight, and text_key, a hash of the text."""
+    """What mix() needs of documents: doc_id, source, size in words (of texts of any length), quality weight, and text_key, a hash of the text."""
     return docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), quality_weight(text_or_empty()).alias("weight"), F.xxhash64("text").alias("text_key"))
 
 
@@ -117,6 +120,6 @@ sorted AS (
   SELECT doc_id, s.source AS source, size, source_size, target, epochs,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY -ln(u) / w, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix
   FROM s JOIN spent p ON s.source IS NOT DISTINCT FROM p.source),
-taken AS (SELECT *, CAST(epochs + CASE WHEN prefix + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END AS INTEGER) AS times FROM sorted)
+taken AS (SELECT *, CAST(epochs + CASE WHEN target - epochs * source_size > 0 AND prefix + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END AS INTEGER) AS times FROM sorted)
 SELECT doc_id, size, source_size, target, size * times AS taken, source, times FROM taken
 """

@@ -38,7 +38,7 @@ def check(rows):
     by = defaultdict(list)
     for r in rows:
         by[r["source"]].append(r)
-        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["size"] * r["times"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["size"] * r["times"] and 0 <= r["times"] <= 2
     for own in by.values():
         assert sum(r["size"] for r in own) == own[0]["source_size"]
         epochs = {r["times"] for r in own if r["size"]}
@@ -56,6 +56,15 @@ def test_budgets_are_met_and_reruns_agree(spark):
     assert {(r["doc_id"], r["times"]) for r in one} != {(r["doc_id"], r["times"]) for r in mixing.mix(df, seed=1).collect()}
 
 
+def test_rows_without_words_in_a_source_at_its_limit(spark):
+    rows = [(i, "small", i % 2 * 5, 1.0) for i in range(40)] + [(100 + i, "large", 50, 1.0) for i in range(400)] + [(900, "none", 0, 1.0)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, weight double")).collect()
+    check(got)
+    small = [r for r in got if r["source"] == "small"]
+    assert {r["target"] for r in small} == {200.0} and {r["times"] for r in small} == {2}
+    assert [r["times"] for r in got if r["source"] == "none"] == [0]
+
+
 def test_better_documents_are_taken_more_often(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).alias("size"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("weight"))
     rows = mixing.mix(df, share=0.3).collect()
