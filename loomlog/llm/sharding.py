@@ -9,10 +9,11 @@ for each partition.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import gapless_rank, stable
@@ -66,31 +67,35 @@ def communication_matrix(partitions: list[int], shards: list[int], seed: int) ->
     return matrix
 
 
+#: Most partitions that deal: the matrix and its broadcast have a row for each.
+MOST_PARTITIONS = 4096
+#: A partition's number is above these bits of monotonically_increasing_id, the row's place in it below.
+_PLACE_BITS = 33
+
+
 def shuffle_to_shards(rows: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... within the shard) to every row.
 
     Every assignment with shard sizes at most one apart is equally likely (up to the 64-bit random keys), and so is
     every order within a shard. The same layout of input partitions and seed give the same result. Nulls, repeated
-    rows and ties are rows like any others; an empty table gives an empty one; input columns named ``shard`` or
-    ``slot`` are replaced. Equal texts are spread independently. The table is written once to the checkpoint folder
-    as it comes: give it narrow, and join texts later.
+    rows, ties and texts of any length are rows like any others; an empty table gives an empty one; input columns named
+    ``shard`` or ``slot`` are replaced, others stay. Equal texts are spread independently. The table is written once to
+    the checkpoint folder as it comes: give it narrow, and join texts later. The local permutation is a sort within
+    each partition, which moves no row to another one; rows move once to be dealt into their places.
     """
-    fixed = stable(rows.drop("shard", "slot").withColumns({"_ll_pid": F.spark_partition_id(), "_ll_rid": F.monotonically_increasing_id()}))
-    counts = sorted((r["_ll_pid"], r["n"]) for r in fixed.groupBy("_ll_pid").agg(F.count("*").alias("n")).collect())
+    place = F.monotonically_increasing_id()
+    fixed = stable(rows.drop("shard", "slot").coalesce(MOST_PARTITIONS).withColumn("_ll_rid", place))
+    pid = F.shiftright("_ll_rid", _PLACE_BITS)
+    counts = sorted((r["p"], r["n"]) for r in fixed.groupBy(pid.alias("p")).agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     random.Random(seed).shuffle(sizes)
     matrix = communication_matrix([n for _, n in counts], sizes, seed + 1)
-    ends = []
-    for (pid, _), row in zip(counts, matrix, strict=True):
-        at, cut = 0, []
-        for k in row:
-            at += k
-            cut.append(at)
-        ends.append((pid, cut))
-    bounds = rows.sparkSession.createDataFrame(ends, "_ll_pid int, _ll_ends array<bigint>")
-    local = Window.partitionBy("_ll_pid").orderBy(F.xxhash64(F.lit(seed + 2), F.col("_ll_rid")))
-    rank = fixed.withColumn("_ll_at", F.row_number().over(local) - 1).join(bounds, "_ll_pid")
-    dealt = rank.withColumn("shard", F.size(F.filter("_ll_ends", lambda e: e <= F.col("_ll_at")))).drop("_ll_ends", "_ll_at", "_ll_pid")
-    dealt = stable(dealt)
-    return gapless_rank(dealt, "shard", F.xxhash64(F.lit(seed + 3), F.col("_ll_rid")), total, "slot").drop("_ll_rid")
+    ends = [(p, list(itertools.accumulate(row))) for (p, _), row in zip(counts, matrix, strict=True)]
+    bounds = rows.sparkSession.createDataFrame(ends, "_ll_pid bigint, _ll_ends array<bigint>")
+    # the written table is read in the partitions it was written in: a row's place after the sort is its local rank
+    mixed = fixed.sortWithinPartitions(F.xxhash64(F.lit(seed + 2), F.col("_ll_rid")), "_ll_rid").withColumn("_ll_at", place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+    dealt = mixed.withColumn("_ll_pid", pid).join(F.broadcast(bounds), "_ll_pid")
+    dealt = dealt.withColumn("shard", F.size(F.filter("_ll_ends", lambda e: e <= F.col("_ll_at")))).drop("_ll_ends", "_ll_at", "_ll_pid")
+    return gapless_rank(stable(dealt), "shard", F.xxhash64(F.lit(seed + 3), F.col("_ll_rid")), total, "slot").drop("_ll_rid")
+
