@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import gapless_rank, map_in_arrow, stable, text_or_empty
 
 END_ID = 1
+#: Rows of the plan that are broadcast, 48 bytes each; a plan has few for each length, whatever the number of documents.
+MOST_PLACES = 200_000
 #: Words whose ids a worker keeps before it starts anew.
 CACHED_WORDS = 120_000
 
@@ -281,6 +283,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = slots(plan(counts, capacity))
     places = pieces.sparkSession.createDataFrame(found, "_ll_size bigint, _ll_first bigint, _ll_ranks bigint, _ll_count bigint, _ll_sequence bigint, _ll_offset bigint")
+    if len(found) <= MOST_PLACES:  # else the most frequent length is left to the engine's own splitting of skewed joins
+        places = F.broadcast(places)
     ranked = gapless_rank(pieces.withColumn("_ll_rid", F.monotonically_increasing_id()), "length", F.xxhash64("_ll_rid"), sum(counts.values()), "_ll_rank")
     at = F.col("_ll_rank") - F.col("_ll_first")
     placed = ranked.join(places, (F.col("length") == F.col("_ll_size")) & (at >= 0) & (at < F.col("_ll_ranks")))
