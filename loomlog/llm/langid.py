@@ -1,19 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads UTF-8 bytes in windows, forwards and backwards, and gives every position a probability for each
-language; a document's probabilities are the means over all its positions. It is written and trained in numpy, by
+language; a document's probabilities are the means over all its positions. States begin anew with each window. It is written and trained in numpy, by
 backpropagation through time, on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,8 @@ from loomlog.llm.common import map_in_arrow, text_or_empty
 
 #: Bytes in a window, the units of each direction, and the windows that are read side by side.
 WINDOW, HIDDEN, LANES = 64, 8, 2048
+#: Windows of a document that are learned from.
+WINDOWS_EACH = 24
 #: The label of a text without letters.
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -123,23 +126,29 @@ class Network:
         return loss, [*d_inputs, *d_recurrent, *d_out, p.sum(axis=0)]
 
 
-def train(texts: list[str], labels: list[str], seed: int = 0, windows_each: int = 24, epochs: int = 4, batch: int = 256, rate: float = 0.02) -> Network:
-    """Fits a network to documents with labels by Adam with a falling rate; the same input gives the same network."""
+def windows_of(text: str, seed: int = 0, most: int = WINDOWS_EACH) -> np.ndarray:
+    """(n, WINDOW) bytes at random places of a text, at most ``most`` and no more than it has room for; of an empty text none.
+
+    The places depend on the text and the seed alone.
+    """
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    if not len(raw):
+        return np.empty((0, WINDOW), dtype=np.uint8)
+    rng = np.random.default_rng([seed, zlib.crc32(raw)])
+    raw = np.pad(raw, (0, max(0, WINDOW - len(raw))), constant_values=32)
+    starts = rng.integers(0, len(raw) - WINDOW + 1, min(most, 1 + len(raw) // WINDOW))
+    return raw[starts[:, None] + np.arange(WINDOW)]
+
+
+def train(windows: list[np.ndarray], labels: list[str], seed: int = 0, epochs: int = 4, batch: int = 256, rate: float = 0.02) -> Network:
+    """Fits a network to the windows of documents with labels by Adam with a falling rate; the same input gives the same network."""
     rng = np.random.default_rng(seed)
     known = sorted(set(labels))
     net = Network.new(known, rng)
-    rows, targets = [], []
-    for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        if not len(raw):
-            continue
-        raw = np.pad(raw, (0, max(0, WINDOW - len(raw))), constant_values=32)
-        for at in rng.integers(0, len(raw) - WINDOW + 1, min(windows_each, 1 + len(raw) // WINDOW)):
-            rows.append(raw[at : at + WINDOW])
-            targets.append(known.index(label))
-    if not rows:
+    x = np.concatenate([np.empty((0, WINDOW), dtype=np.uint8), *windows])
+    y = np.repeat(np.array([known.index(label) for label in labels], dtype=np.int64), [len(w) for w in windows])
+    if not len(x):
         return net
-    x, y = np.stack(rows), np.array(targets)
     # the same number of windows for each label
     share = np.bincount(y, minlength=len(known)).max()
     order = np.concatenate([rng.permutation(np.resize(np.flatnonzero(y == k), share)) for k in range(len(known)) if (y == k).any()])
@@ -234,33 +243,49 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, per_label: int = 250, seed: int = 0) -> Network:
-    """Trains on at most ``per_label`` documents of each label, those with the smallest hashes of their ids.
+def _drawing(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [windows_of(t, seed).tobytes() if has_letter(t) else None for t in batch.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(drawn, pa.binary())], names=["lang", "place", "tie", "windows"])
+            yield out.filter(out.column(3).is_valid())
+
+    return run
+
+
+def sample(docs: DataFrame, per_label: int = 250, most_labels: int = 256, seed: int = 0) -> DataFrame:
+    """(lang, windows): what is learned from, at most ``per_label`` rows for each of the ``most_labels`` most frequent labels.
 
-    Only rows with a text and a label that are not held out are learned from. Labels are counted first, so that
-    the sample that reaches the driver is about as large as the bound for a table of any size.
+    Rows with a text and a label that are not held out are ranked by a hash of their ids and texts, so rows without ids
+    or with equal ones are spread too; repeated rows count once. A row is the bytes of at most
+    WINDOWS_EACH windows, drawn where the text is, so no text travels, however long.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 11) / F.lit(float(2**53))
-    bound = F.lit(0.0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, min(1.0, (1.2 * per_label + 20) / n)).otherwise(bound)
-    rows = known.withColumn("_ll_place", place).where(F.col("_ll_place") < bound).select("lang", "text", "_ll_place").collect()
-    texts, labels, seen = [], [], dict.fromkeys(counts, 0)
-    for row in sorted({(r["_ll_place"], r["lang"], r["text"]) for r in rows}):
-        if seen[row[1]] < per_label and has_letter(row[2]):
-            seen[row[1]] += 1
-            texts.append(row[2])
-            labels.append(row[1])
-    return train(texts, labels, seed)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    # labels are counted first, so that few more rows than needed are looked at
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text"), 11) / F.lit(float(2**53))
+    bound = F.lit(-1.0)
+    for row in counts:
+        bound = F.when(F.col("lang") == row["lang"], min(1.0, (1.2 * per_label + 20) / row["n"])).otherwise(bound)
+    near = known.select("lang", "text", place.alias("place"), F.xxhash64(F.lit(seed), F.col("text")).alias("tie")).where(F.col("place") <= bound)
+    drawn = map_in_arrow(near, _drawing(seed), "lang string, place double, tie bigint, windows binary").dropDuplicates(["lang", "place", "tie"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie"))
+    return drawn.withColumn("_ll_n", first).where(F.col("_ll_n") <= per_label).select("lang", "windows")
+
+
+def fit(docs: DataFrame, per_label: int = 250, most_labels: int = 256, seed: int = 0) -> Network:
+    """Trains on a bounded :func:`sample`: ``per_label`` documents of each label, ``most_labels`` labels, WINDOWS_EACH windows of a document."""
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in sample(docs, per_label, most_labels, seed).collect())
+    return train([np.frombuffer(w, dtype=np.uint8).reshape(-1, WINDOW) for _, w in rows], [lang for lang, _ in rows], seed)
 
 
 def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all) with lang_pred, score and position_share (positions with the label of the whole).
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing could be
-    learned (no labelled rows). Clashing columns are replaced; an empty table gives an empty one. No shuffle.
+    learned (no labelled rows). Of equally probable labels the first in order is taken. Texts of any length are read
+    whole; repeated rows get a row each, with equal results; clashing columns are replaced, others stay; an empty
+    table gives an empty one. No shuffle.
     """
     rest = docs.drop("lang_pred", "score", "position_share") if keep is None else docs.select(*keep)
     rows = docs.select(text_or_empty().alias("_ll_text"), *[F.col(c) for c in rest.columns])

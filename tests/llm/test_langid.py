@@ -42,7 +42,7 @@ def test_gradients():
 
 
 def test_reading_equals_reading_alone():
-    net = langid.train([t for _, t, *_ in sample(1)], [x for *_, x, _, _ in sample(1)], epochs=1)
+    net = langid.train([langid.windows_of(t) for _, t, *_ in sample(1)], [x for *_, x, _, _ in sample(1)], epochs=1)
     texts = [t.encode() for _, t, *_ in sample(2, 20)] + [b"", b"x" * 300, b"y" * 64]
     pooled, votes = langid.read_texts(net, texts)
     for k, t in enumerate(texts):
@@ -74,6 +74,17 @@ def test_held_out_rows_and_other_columns_teach_nothing(spark):
     assert all((a == b).all() for a, b in zip(one.weights(), two.weights(), strict=True))
 
 
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, t, x, None, None) for _, t, x, _, _ in sample(5, 300)] + [(1, "the and " * 20_000, "aa", None, None)] * 50
+    found = langid.sample(documents(spark, []).union(spark.createDataFrame(rows, documents(spark, []).schema)), per_label=20).collect()
+    counts = {x: sum(r["lang"] == x for r in found) for x in WORDS}
+    assert all(15 <= n <= 20 for n in counts.values()) and max(len(r["windows"]) for r in found) <= langid.WINDOWS_EACH * langid.WINDOW
+    few = langid.sample(spark.createDataFrame(rows, documents(spark, []).schema), per_label=5, most_labels=2).collect()
+    assert len({r["lang"] for r in few}) == 2
+    net = langid.fit(spark.createDataFrame(rows, documents(spark, []).schema), per_label=20)
+    assert net.labels == sorted(WORDS)
+
+
 @pytest.mark.parametrize(("t", "yes"), [("", False), ("12 ²½ _-", False), ("文", True), ("1a", True), ("ⅷ", False), ("\n", False)])
 def test_letters(t, yes):
     assert langid.has_letter(t) == yes
