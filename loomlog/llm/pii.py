@@ -120,6 +120,8 @@ def _e164(s: str, move: Mover) -> str | None:
     d = _digits(s)
     if not 9 <= len(d) <= 15 or d[0] == "0":
         return None
+    if d[0] == "1":  # the same numbers as without the plus sign
+        return _nanp(s, move) if len(d) == 11 else None
     keep = 2  # country codes have one to three digits; what follows the second is moved
     n = len(d) - keep
     return _refill(s, d[:keep] + str(move(int(d[keep:]), 10**n, f"e164-{d[:keep]}-{n}")).zfill(n))
@@ -198,15 +200,15 @@ def _iso_date(s: str, move: Mover) -> str | None:
     day = _day(int(s[:4]), int(s[5:7]), int(s[8:]))
     if day is None:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "iso date"))
+    new = dt.date.fromordinal(FIRST_DAY + move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
     return f"{new.year}{s[4]}{new.month:02d}{s[7]}{new.day:02d}"
 
 
 def _written_date(s: str, move: Mover) -> str | None:
-    """Day first where that is a date, else month first."""
+    """Day first where that is a date, and as the same date in ISO's order; else month first, as a date that can't be read day first."""
     a, b, y = int(s[:2]), int(s[3:5]), int(s[6:])
     if (day := _day(y, b, a)) is not None:
-        new = dt.date.fromordinal(FIRST_DAY + move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "day first"))
+        new = dt.date.fromordinal(FIRST_DAY + move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
         return f"{new.day:02d}{s[2]}{new.month:02d}{s[5]}{new.year}"
     if (day := _day(y, a, b)) is not None:
         days, place = _late_days()
@@ -303,8 +305,11 @@ def _replacer(key: bytes, back: bool):
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) -> DataFrame:
     """(doc_id, text, pii): each row's text with its validated values replaced, and kind, start, stop of the old values.
 
-    ``back`` undoes it with the same key. A null text stays null, an empty one empty; texts without such values are
-    unchanged; repeated rows get a row each; an empty table gives an empty one. No shuffle.
+    ``back`` undoes it with the same key. The host of a mail address stays, and so do the country codes of numbers.
+    Values are equal by what they say, not by how they are spaced; a month-first date is linked with its like alone.
+    A null text stays null, an empty one empty; texts of any length are searched whole; texts without such values are
+    unchanged; repeated rows get a row each; other columns, whatever they are called, are not looked at; an empty
+    table gives an empty one. No shuffle.
     """
     return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _replacer(key, back), "doc_id bigint, text string, pii array<struct<kind:string,start:int,stop:int>>")
 

@@ -26,7 +26,9 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_counts(pii.pseudonymise(documents(spark, sf_dir)))
+    """The key is the session's spark.loomlog.pii.key; without one the public demonstration key is used."""
+    key = spark.conf.get("spark.loomlog.pii.key", None)
+    return pii.with_counts(pii.pseudonymise(documents(spark, sf_dir), key.encode() if key else pii.DEMO_KEY))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

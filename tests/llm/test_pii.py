@@ -1,3 +1,7 @@
+import datetime as dt
+import random
+import re
+
 import pytest
 from oddities import BASE, documents, empty, odd
 
@@ -75,3 +79,99 @@ def test_values_beside_other_words_are_found(text, value):
     new, spans = pii.Pseudonyms(b"key").replace(text)
     assert value in [text[s:e] for _, s, e in spans] and value not in new
     assert pii.Pseudonyms(b"key", back=True).replace(new)[0] == text
+
+
+def test_equal_dates_and_numbers_are_linked_in_any_notation():
+    new = lambda t: pii.Pseudonyms(b"key").replace(t)[0]
+    y, m, d = new("1999-12-31").split("-")
+    assert new("31/12/1999") == f"{d}/{m}/{y}" and new("1999/12/31") == f"{y}/{m}/{d}"
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert digits(new("+17365552678")) == digits(new("+1 (736) 555-2678")) == "1" + digits(new("736-555-2678"))
+    assert new("+11365552678") == "+11365552678"  # no area code begins with 1
+    assert pii.Pseudonyms(b"key", back=True).replace(new("+17365552678"))[0] == "+17365552678"
+
+
+def _valid(kind, s):
+    """Each format's rule once more, by other means."""
+    d = re.sub("[^0-9]", "", s)
+    if kind == "ipv4":
+        return all(str(int(p)) == p and int(p) < 256 for p in s.split("."))
+    if kind in ("iso_date", "date"):
+        orders = ["%Y%m%d"] if kind == "iso_date" else ["%d%m%Y", "%m%d%Y"]
+        for order in orders:
+            try:
+                if 1900 <= dt.datetime.strptime(d, order).year < 2100:
+                    return True
+            except ValueError:
+                pass
+        return False
+    if kind == "ssn":
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "phone":
+        return d[-10] in "23456789" and d[-7] in "23456789"
+    return False
+
+
+SHAPES = {
+    "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "iso_date": r"\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{4}\.\d\d\.\d\d", "date": r"\d\d-\d\d-\d{4}|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}",
+    "ssn": r"\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}", "phone": r"\d{3}[-. ]\d{3}[-. ]\d{4}",
+}
+
+
+def brute_detect(text):
+    """Tries every substring at every place: the first kind with a valid one wins, then the search goes on behind it."""
+    spans, at = [], 0
+    while at < len(text):
+        end = None
+        if at == 0 or not text[at - 1].isalnum():
+            for kind, shape in SHAPES.items():
+                for stop in range(min(len(text), at + 16), at, -1):
+                    alone = stop == len(text) or not text[stop].isalnum()
+                    if kind == "ipv4":
+                        alone = alone and not re.match(r"\.\d", text[stop:]) and not re.search(r"\d\.$", text[:at])
+                    if alone and re.fullmatch(shape, text[at:stop], re.A) and _valid(kind, text[at:stop]):
+                        spans.append((kind, at, stop))
+                        end = stop
+                        break
+                if end:
+                    break
+        at = end or at + 1
+    return spans
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_spans_equal_trying_every_substring(seed):
+    rng = random.Random(seed)
+    part = lambda *n: "".join(rng.choice("0123456789") for _ in range(rng.choice(n)))
+    shape = lambda: rng.choice([
+        ".".join(str(rng.randrange(300)) for _ in range(rng.choice([3, 4, 4, 5]))), f"{rng.choice([1899, 1999, 2024])}-{rng.randrange(14):02d}-{rng.randrange(33):02d}", f"{rng.randrange(33):02d}/{rng.randrange(14):02d}/{rng.choice([1999, 2100])}",
+        f"{rng.choice(['000', '666', '900', '123'])}-{rng.choice(['00', '45'])}-{rng.choice(['0000', '6789'])}", f"{part(3)}-{part(3)}-{part(4)}", part(1, 2, 3), "a", "x1",
+    ])
+    text = "".join(shape() + rng.choice([" ", ", ", ". ", "a", "/", "-"]) for _ in range(12))
+    assert pii.Pseudonyms(b"key").replace(text)[1] == brute_detect(text)
+
+
+def luhn(body):
+    return next(c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(body + c))) % 10 == 0)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_planted_cards_and_accounts_are_found_and_wrong_ones_left(seed):
+    rng = random.Random(seed)
+    text, want = "", []
+    for _ in range(10):
+        body = rng.choice("23456") + "".join(rng.choices("0123456789", k=14))
+        right = luhn(body)
+        digits = body + rng.choice([right, str((int(right) + 1) % 10)])
+        if rng.random() < 0.5:
+            bban = "".join(rng.choices("0123456789", k=18))
+            check = 98 - int(bban + "131400") % 97
+            digits = f"DE{(check + rng.choice([0, 1])) % 100:02d}{bban}"
+            good = int(bban + "1314" + digits[2:4]) % 97 == 1
+        else:
+            good = digits[-1] == right
+        text += rng.choice(["", "card ", "to ", "é"][:3]) + " "
+        if good:
+            want.append((len(text), len(text) + len(digits)))
+        text += digits + rng.choice([" ", ", ", ".\n"]) + rng.choice(["and", "then;"])
+    assert [(s, e) for _, s, e in pii.Pseudonyms(b"key").replace(text)[1]] == want
