@@ -54,6 +54,19 @@ def encode_frame(code: Column, request_id: Column, payload: Column) -> Column:
     return F.concat(unsigned(F.octet_length(payload) + 9, 4), unsigned(code, 1), unsigned(request_id, 8), payload)
 
 
+def encode_response(status: Column, request_id: Column, payload: Column) -> Column:
+    """A response's frame: its status takes the opcode's place; a null payload is an empty one."""
+    code = F.lit(None).cast("int")
+    for name, number in STATUS.items():
+        code = F.when(status == name, number).otherwise(code)
+    return encode_frame(code, request_id, as_bytes(payload))
+
+
+def status_payload(status: Column, reply: Column, epoch: Column) -> Column:
+    """What a response carries: the epoch where a term is stale, the reply where all is well, else nothing."""
+    return F.when(status == "STALE_TERM", unsigned(epoch, 8)).when(status == "OK", as_bytes(reply)).otherwise(F.lit(b""))
+
+
 def request_payload(op: Column, key: Column, value: Column) -> Column:
     """Payload of PUT (length of key, key, value), GET and DELETE (key)."""
     k = as_bytes(key)

@@ -4,7 +4,9 @@ A shard is an eighth of all data and a hot key may be a third of it: a plain win
 Here rows are cut into blocks by ranges of their order column. Each (partition, block) is summed up first, in
 partial aggregates; a window over these few summaries carries what blocks before it hold; and the window proper
 runs within (partition, block). The order column must be a unique integer in its partition, and the input must give
-the same rows when it is read again, as it is read twice.
+the same rows when it is read again, as it is read twice: chained, these functions would double the plan each time,
+so what they are applied to should be a stored table (scratch.written) or a plain scan. The log itself is built
+without them, see oplog.build.
 """
 
 from __future__ import annotations
@@ -34,15 +36,6 @@ def _attach(df: DataFrame, blocks: DataFrame, partition: list[str], add: list[st
     return df.join(named, on).drop(*[f"_k{i}" for i in range(len(partition) + 1)])
 
 
-def row_number(df: DataFrame, partition: list[str], order: str, out: str, width: int = BLOCK) -> DataFrame:
-    """Adds ``out``: 1, 2, 3, ... in each partition in the order of ``order``."""
-    df = _with_block(df, order, width)
-    blocks = df.groupBy(*partition, "_block").agg(F.count("*").alias("_rows"))
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_rows").over(_before(partition)), F.lit(0)))
-    within = Window.partitionBy(*partition, "_block").orderBy(order)
-    return _attach(df, blocks, partition, ["_base"]).withColumn(out, (F.col("_base") + F.row_number().over(within)).cast("long")).drop("_base", "_block")
-
-
 def lag(df: DataFrame, partition: list[str], order: str, value: Column, out: str, width: int = BLOCK) -> DataFrame:
     """Adds ``out``: ``value`` of the row before in the partition; null for the first."""
     df = _with_block(df.withColumn("_value", F.struct(value.alias("v"))), order, width)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,30 +53,119 @@ def lost_and_added(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def assign_segments(log: DataFrame, limit: int) -> DataFrame:
+#: write_ids in a block of the fold, and in a piece of a block that finds its segments by itself.
+SEGMENT_BLOCK, SEGMENT_PIECE = 1 << 20, 1 << 10
+
+
+def assign_segments(log: DataFrame, limit: int, width: int = SEGMENT_BLOCK, piece: int = SEGMENT_PIECE) -> DataFrame:
     """Adds ``segment`` (from 1): a new one is begun when the active one is not empty and the record would exceed ``limit`` bytes.
 
-    Where a segment ends depends on all before it, so this is a fold. Sizes alone are folded, shard by shard, from
-    an iterator of sorted batches: one running total is held, not the shard.
+    Where a segment ends depends on all before it, but a block of records can say in advance what it makes of any
+    number of bytes that the active segment comes with: only where the first segment within it begins depends on
+    that, the others follow. These answers, one row for each block, are chained shard by shard; then blocks place
+    their segments at once. Sizes alone are read for this, twice. log is read three times and must not change.
     """
-    sized = log.select("shard", "write_id", binary.record_size(F.col("key"), F.col("value")).alias("bytes"))
-    cut = sized.repartition("shard").sortWithinPartitions("shard", "write_id").mapInPandas(_folding(limit), "shard int, write_id bigint, segment bigint")
-    return log.join(cut, ["shard", "write_id"])
+    piece = math.gcd(width, piece)
+    sized = log.select("shard", "write_id", F.floor(F.col("write_id") / width).alias("_block"), binary.record_size(F.col("key"), F.col("value")).alias("bytes"))
+    sized = sized.repartition("shard", "_block").sortWithinPartitions("shard", "_block", "write_id")
+    answers = sized.mapInPandas(_answering(limit), "shard int, _block bigint, above array<bigint>, segments array<bigint>, used array<bigint>, fresh array<bigint>, total bigint")
+    chained = answers.repartition("shard").sortWithinPartitions("shard", "_block").mapInPandas(_chaining, "shard int, _block bigint, segment bigint, used bigint")
+    begins = chained.withColumnsRenamed({"shard": "_s", "_block": "_b"})
+    known = sized.join(begins, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).select("shard", "_block", "write_id", "bytes", "segment", "used")
+    known = known.repartition("shard", "_block").sortWithinPartitions("shard", "_block", "write_id")
+    starts = known.mapInPandas(_placing(limit, piece), "_s int, _p bigint, _first bigint, _starts array<bigint>")
+    found = log.join(starts, (F.col("shard") == F.col("_s")) & (F.floor(F.col("write_id") / piece) == F.col("_p")))
+    return found.withColumn("segment", F.col("_first") + F.size(F.filter("_starts", lambda s: s <= F.col("write_id")))).drop("_s", "_p", "_first", "_starts")
+
+
+def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one (shard, block) at a time, which come one after the other."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.flatnonzero((np.diff(batch["shard"]) != 0) | (np.diff(batch["_block"]) != 0)) + 1
+        for k, part in enumerate(np.split(np.arange(len(batch)), new)):
+            rows = batch.iloc[part]
+            if held and (k or (held[-1]["shard"].iloc[0], held[-1]["_block"].iloc[0]) != (rows["shard"].iloc[0], rows["_block"].iloc[0])):
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def _following(sums: np.ndarray, limit: int) -> np.ndarray:
+    """For a segment begun at each record the record at which the next one begins; the number of records if none does. sums: 0 and all running sums."""
+    n = len(sums) - 1
+    at = np.arange(n)
+    return np.minimum(np.maximum(np.searchsorted(sums, sums[:-1] + limit, side="right") - 1, at + 1), n)
+
+
+def _answering(limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _blocks_of(batches):
+            sums = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy(np.int64))])
+            n = len(sums) - 1
+            # to the last segment of the block by doubling: begins[i] is a later begin on the way from i, steps[i] segments on
+            begins, steps = np.append(_following(sums, limit), n), np.append(np.ones(n, dtype=np.int64), 0)
+            last = np.arange(n + 1)
+            count = np.zeros(n + 1, dtype=np.int64)
+            hop, hops = begins, steps
+            jumps = []
+            while (hop[:-1] < n).any():
+                jumps.append((hop, hops))
+                hop, hops = hop[hop], hops + hops[hop]
+            for hop, hops in reversed(jumps):
+                go = hop[last] < n
+                count[go] += hops[last[go]]
+                last[go] = hop[last[go]]
+            used = sums[n] - sums[last]
+            # the first segment within the block begins at record j if more than limit - sums[j + 1] bytes come with it
+            first = np.flatnonzero((sums[:-1] < limit) | (np.arange(n) == 0))
+            above = limit - sums[first + 1]
+            yield pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "_block": rows["_block"].iloc[:1].to_numpy(), "above": [above], "segments": [1 + count[first]], "used": [used[first]], "fresh": [np.array([count[0], used[0]])], "total": [sums[n]]})
+
+    return run
 
 
-def _folding(limit: int):
+def _chaining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The number of the active segment and its bytes at the begin of each block."""
+    shard, segment, used = None, 1, 0
+    for batch in batches:
+        out = []
+        for s, block, above, segments, left, fresh, total in batch.itertuples(index=False):
+            if s != shard:
+                shard, segment, used = s, 1, 0
+            out.append((s, block, segment, used))
+            # above falls: the first entry below ``used`` counts
+            k = int(np.searchsorted(-np.asarray(above), -used, side="right"))
+            if not used:
+                segment, used = segment + int(fresh[0]), int(fresh[1])
+            elif k < len(above):
+                segment, used = segment + int(segments[k]), int(left[k])
+            else:
+                used += int(total)
+        yield pd.DataFrame(out, columns=["shard", "_block", "segment", "used"])
+
+
+def _placing(limit: int, piece: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, segment, used = None, 1, 0
-        for batch in batches:
-            segments = []
-            for s, size in zip(batch["shard"].tolist(), batch["bytes"].tolist(), strict=True):
-                if s != shard:
-                    shard, segment, used = s, 1, 0
-                if used and used + size > limit:
-                    segment, used = segment + 1, 0
-                used += size
-                segments.append(segment)
-            yield pd.DataFrame({"shard": batch["shard"], "write_id": batch["write_id"], "segment": segments})
+        for rows in _blocks_of(batches):
+            sums = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy(np.int64))])
+            n, ids, used, segment = len(sums) - 1, rows["write_id"].to_numpy(), int(rows["used"].iloc[0]), int(rows["segment"].iloc[0])
+            at = int(np.searchsorted(sums[1:], limit - used, side="right")) if used else 0
+            following, begins = _following(sums, limit), []
+            if not used:  # the shard's first segment begins here and is counted already
+                at = int(following[0])
+            while at < n:
+                begins.append(at)
+                at = int(following[at])
+            begun = ids[np.array(begins, dtype=np.int64)]
+            pieces = np.unique(ids // piece)
+            cuts = np.searchsorted(begun, pieces * piece, side="left")
+            ends = np.append(cuts[1:], len(begun))
+            yield pd.DataFrame({"_s": rows["shard"].iloc[0], "_p": pieces, "_first": segment + cuts, "_starts": [begun[a:b] for a, b in zip(cuts, ends, strict=True)]})
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog import schemas
+from loomlog import schemas, scratch
 from loomlog.operators import oplog, state
 
 
@@ -26,6 +26,11 @@ def log(spark: SparkSession, sf_dir: str, shards: int = schemas.DEFAULT_SHARDS)
     return oplog.build(ops(spark, sf_dir), shards)
 
 
+def stored_log(spark: SparkSession, sf_dir: str, shards: int = schemas.DEFAULT_SHARDS) -> DataFrame:
+    """The log as a table: for queries that read it more than once."""
+    return scratch.written(log(spark, sf_dir, shards))
+
+
 def ops_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PUTs with keys of all lengths, and two with an empty key and a value that is too large."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit("PUT").alias("op"), F.col("text").alias("key"), F.col("source").alias("value"))

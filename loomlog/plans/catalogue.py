@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog import schemas
+from loomlog import schemas, scratch
 from loomlog.functions import binary, hashing
 from loomlog.operators import cluster, layout, merge, metrics, oplog, state
 from loomlog.plans import bridge, sql
@@ -30,7 +29,7 @@ def q02_effective_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q03_key_versions(spark: SparkSession, d: str) -> DataFrame:
-    return oplog.with_versions(oplog.effective(bridge.ops(spark, d))).select("seq", "key", "version")
+    return oplog.effective(bridge.ops(spark, d)).select("seq", "key", "version")
 
 
 def q04_shard_write_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -63,22 +62,22 @@ def q10_resurrected_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q11_recover_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     bounds = bridge.half_boundaries(log)
     return state.recover(bridge.snapshot_at(log, bounds), bounds, log).select("shard", "key", "value", "version", "write_id", "tombstone")
 
 
 def q12_scanned_vs_applied(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     return state.replay_counts(bridge.half_boundaries(log), log)
 
 
 def q13_segment_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES).select("shard", "write_id", "segment")
+    return layout.assign_segments(bridge.stored_log(spark, d), SEGMENT_BYTES).select("shard", "write_id", "segment")
 
 
 def q14_replicate_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return merge.accept_replicated(bridge.arrivals(bridge.log(spark, d))).select("shard", "arrival", "write_id", "key", "op")
+    return merge.accept_replicated(bridge.arrivals(bridge.stored_log(spark, d))).select("shard", "arrival", "write_id", "key", "op")
 
 
 def q15_migrate_newest_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +85,7 @@ def q15_migrate_newest_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q16_merge_rules_diff(spark: SparkSession, d: str) -> DataFrame:
-    came = bridge.arrivals(bridge.log(spark, d))
+    came = bridge.arrivals(bridge.stored_log(spark, d))
     high = merge.newest_wins(merge.accept_replicated(came)).select("key", F.col("write_id").alias("replicated_id"))
     newest = merge.newest_wins(came).select("key", F.col("write_id").alias("migrated_id"))
     return newest.join(high, "key", "left").select("key", "migrated_id", "replicated_id", (F.col("replicated_id").eqNullSafe(F.col("migrated_id"))).alias("same"))
@@ -110,7 +109,7 @@ def q20_reshard_moved_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q21_reshard_no_loss(spark: SparkSession, d: str) -> DataFrame:
-    before = state.materialize(bridge.log(spark, d, 8))
+    before = state.materialize(bridge.stored_log(spark, d, 8))
     return layout.lost_and_added(before, layout.reshard(before, 6))
 
 
@@ -142,19 +141,19 @@ def q26_heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q27_catchup_mode(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     # followers of even shards are at a quarter of the log, the others at three quarters
     at = F.floor(F.max("write_id") * F.when(F.col("shard") % 2 == 0, 1).otherwise(3) / 4)
     return cluster.catchup_mode(log.groupBy("shard").agg(at.alias("last_applied")), bridge.half_boundaries(log))
 
 
 def q28_replication_lag(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     return cluster.lag(log, bridge.replica(log))
 
 
 def q29_replica_diff(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     return cluster.replica_diff(state.materialize(log), state.materialize(bridge.replica(log)))
 
 
@@ -171,7 +170,7 @@ def q32_copied_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q33_truncatable_segments(spark: SparkSession, d: str) -> DataFrame:
-    log = bridge.log(spark, d)
+    log = bridge.stored_log(spark, d)
     return layout.truncatable(layout.assign_segments(log, SEGMENT_BYTES), bridge.half_boundaries(log))
 
 
@@ -186,7 +185,7 @@ def q35_wal_crc(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str, cut: int) -> DataFrame:
     """Log files of about SEGMENT_BYTES as they would lie on disk; ``cut`` bytes are torn off the active one of each shard."""
-    whole = codec.pack_segments(layout.assign_segments(bridge.log(spark, d), SEGMENT_BYTES))
+    whole = codec.pack_segments(layout.assign_segments(bridge.stored_log(spark, d), SEGMENT_BYTES))
     kept = F.when(F.col("active"), F.substring("content", F.lit(1), F.octet_length("content") - cut)).otherwise(F.col("content"))
     name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
     return whole.select(name.alias("segment"), kept.alias("content"), "active")
@@ -205,25 +204,14 @@ def q37_frame_decode(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("op") == "PUT", binary.OPCODES["PUT"]).when(F.col("op") == "GET", binary.OPCODES["GET"]).otherwise(binary.OPCODES["DELETE"])
     frame = binary.encode_frame(code, F.col("request_id"), binary.request_payload(F.col("op"), F.col("key"), F.col("value")))
     name = F.concat_ws("/", "key", F.floor(F.col("seq") / 1000).cast("string"))
-    streams_ = ops.groupBy(name.alias("connection")).agg(F.array_sort(F.collect_list(F.struct("seq", frame.alias("bytes")))).alias("rows"))
-    streams_ = streams_.select("connection", F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x["bytes"])), "")).alias("content"))
+    streams_ = ops.select(name.alias("connection"), "seq", frame.alias("frame")).groupBy("connection").agg(codec.joined("frame", "seq").alias("content"))
     found = codec.decode_frames(streams_)
     return found.select("connection", "position", "status", "opcode", "request_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def q38_stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
     """Entries kept up by a stateful stream over the events."""
-    base = _shared(spark)
+    base = scratch.folder(spark)
     events = spark.readStream.schema(bridge.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     streams.write_entries(bridge.from_events(events), f"{base}/entries", f"{base}/checkpoint")
     return streams.latest(spark.read.parquet(f"{base}/entries")).select("key", "value", "version", "tombstone")
@@ -231,8 +219,8 @@ def q38_stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
 
 def q39_stream_replica(spark: SparkSession, d: str) -> DataFrame:
     """A replica fed by a stream of duplicated and late records, in two runs; then its state."""
-    base = _shared(spark)
-    bridge.arrivals(bridge.log(spark, d)).select("arrival", "write_id", "version", "op", "key", "value").write.parquet(f"{base}/records")
+    base = scratch.folder(spark)
+    bridge.arrivals(bridge.stored_log(spark, d)).select("arrival", "write_id", "version", "op", "key", "value").write.parquet(f"{base}/records")
     replica = ChangeLog(spark, f"{base}/replica", 8)
     records = spark.readStream.schema("arrival bigint, write_id bigint, version bigint, op string, key string, value string").parquet(f"{base}/records")
     streams.follow(records, replica, f"{base}/checkpoint")
@@ -241,7 +229,7 @@ def q39_stream_replica(spark: SparkSession, d: str) -> DataFrame:
 
 def q40_manifest_rollback(spark: SparkSession, d: str) -> DataFrame:
     """A table whose resharding is broken off before its commit, opened again: the old layout, with everything in it."""
-    root = f"{_shared(spark)}/table"
+    root = f"{scratch.folder(spark)}/table"
     table = ChangeLog(spark, root, 8)
     table.append(bridge.ops(spark, d))
     table.take_snapshot()

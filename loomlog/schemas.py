@@ -53,6 +53,16 @@ WAL_RECORD = T.StructType([
     T.StructField("value", T.BinaryType()),
 ])
 
+SNAPSHOT_ENTRY = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("boundary_write_id", T.LongType()),
+    T.StructField("key", T.BinaryType()),
+    T.StructField("value", T.BinaryType()),
+    T.StructField("version", T.LongType()),
+    T.StructField("write_id", T.LongType()),
+    T.StructField("tombstone", T.BooleanType()),
+])
+
 REQUEST = T.StructType([
     T.StructField("connection", T.StringType()),
     T.StructField("position", T.LongType()),

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomlog import schemas
+from loomlog import schemas, scratch
 from loomlog.functions import binary
-from loomlog.functions.binary import FORMAT_VERSION, MANIFEST_MAGIC, OPCODES, RECORD_TYPES, SNAPSHOT_MAGIC
+from loomlog.functions.binary import FORMAT_VERSION, MANIFEST_MAGIC, OPCODES, RECORD_TYPES, SNAPSHOT_MAGIC, STATUS
 
 _KINDS = {code: name for name, code in RECORD_TYPES.items()}
 _OPS = {code: name for name, code in OPCODES.items()}
@@ -86,6 +88,11 @@ def decode_manifest(data: bytes) -> tuple[int, int]:
     return struct.unpack_from(">QQ", data, 5)
 
 
+def encode_response(status: str, request_id: int, payload: bytes = b"") -> bytes:
+    """Length of what follows, status, request id, payload."""
+    return struct.pack(">IBQ", len(payload) + LEAST_FRAME, STATUS[status], request_id) + payload
+
+
 @dataclass
 class FrameParser:
     """Frames from bytes that come in pieces. After a frame of impossible length nothing more is read."""
@@ -135,53 +142,72 @@ def parse_request(code: int, payload: bytes) -> dict | None:
     return None
 
 
-def _rows_out(schema, rows: list[dict]) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+def _decoding(schema: T.StructType, decode: Callable[[str, bytes], Iterator[tuple]], rows: int = 10_000):
+    """Arrow batches of what ``decode`` makes of each (name, content, ...), as tuples in the order of the schema.
 
+    Columns are filled across inputs: many short files or connections make one batch.
+    """
+    types = [f.type for f in to_arrow_schema(schema)]
 
-def _decoding(schema, decode: Callable[[str, bytes], Iterator[dict]], rows: int = 10_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = []
-                for row in decode(name, data or b""):
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+        for given in batches:
+            for one in zip(*(c.to_pylist() for c in given.columns), strict=True):
+                for row in decode(*one):
                     held.append(row)
-                    if len(held) == rows:
-                        yield _rows_out(schema, held)
+                    if len(held) >= rows:
+                        yield batch()
                         held = []
-                if held:
-                    yield _rows_out(schema, held)
+        if held:
+            yield batch()
 
     return run
 
 
 def decode_wal(segments: DataFrame) -> DataFrame:
-    """Records of (segment, content, active): a torn tail of an active segment is left out, one of a closed segment is an error."""
+    """Records of (segment, content, active): a torn tail of an active segment is left out, one of a closed segment is an error.
+
+    With a column ``after`` only records of higher write_ids come (a replay): whole files are checked all the same.
+    """
 
-    def decode(name: str, data: bytes) -> Iterator[dict]:
-        active, name = name[0] == "a", name[1:]
+    def decode(name: str, data: bytes | None, active: bool, after: int) -> Iterator[tuple]:
+        data = data or b""
         records, end = scan_segment(data)
         if end < len(data) and not active:
             raise CorruptLog(f"{name}: a closed segment is damaged after byte {end}")
         for k, (op, write_id, version, key, value) in enumerate(records):
-            yield {"segment": name, "position": k, "op": op, "write_id": write_id, "version": version, "key": key, "value": value if op == "PUT" else None}
+            if write_id > after:
+                yield name, k, op, write_id, version, key, value if op == "PUT" else None
+
+    after = F.coalesce(F.col("after"), F.lit(0)) if "after" in segments.columns else F.lit(0)
+    return segments.select("segment", "content", "active", after.cast("long")).mapInArrow(_decoding(schemas.WAL_RECORD, decode), schemas.WAL_RECORD)
 
-    named = segments.select(F.concat(F.when(F.col("active"), "a").otherwise("c"), "segment").alias("segment"), "content")
-    return named.mapInArrow(_decoding(schemas.WAL_RECORD, decode), schemas.WAL_RECORD)
 
+#: Folders whose last segments are broadcast; a table has one for each shard.
+MOST_FOLDERS = 100_000
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all segments below ``path``: ten or more digits and .wal; the last of each folder is the active one."""
-    from pyspark.sql import Window
 
+def read_wal(spark: SparkSession, path: str, after: DataFrame | None = None) -> DataFrame:
+    """Records of all segments below ``path``: ten or more digits and .wal; the last of each folder is the active one.
+
+    after: (folder, write_id), below which a folder's records are left out; folder is its name, such as shard_3. What
+    each folder's last segment is comes from the listing and is broadcast, so no content is shuffled.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wal").load(path)
-    names = files.select(F.col("path").alias("segment"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"/(\d{10,})\.wal$", 1).alias("number"))
-    names = names.where(F.col("number") != "").withColumn("number", F.col("number").cast("decimal(38,0)"))
-    last = Window.partitionBy("folder")
-    names = names.withColumn("active", F.col("number") == F.max("number").over(last)).select("segment", "active")
-    return decode_wal(files.select(F.col("path").alias("segment"), "content").join(names, "segment"))
+    number = F.regexp_extract("path", r"/(\d{10,})\.wal$", 1)
+    files = files.withColumns({"_folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "_number": F.when(number != "", number).cast("decimal(38,0)")}).where(F.col("_number").isNotNull())
+    last = scratch.written(files.groupBy("_folder").agg(F.max("_number").alias("_last")))
+    if after is not None:
+        last = last.join(after.select(F.col("folder").alias("_name"), F.col("write_id").alias("after")), F.substring_index("_folder", "/", -1) == F.col("_name"), "left").drop("_name")
+    if last.count() <= MOST_FOLDERS:
+        last = F.broadcast(last)
+    found = files.join(last, "_folder").withColumns({"segment": F.col("path"), "active": F.col("_number") == F.col("_last")})
+    return decode_wal(found.select("segment", "content", "active", *(["after"] if after is not None else [])))
 
 
 def last_write_ids(records: DataFrame) -> DataFrame:
@@ -195,30 +221,29 @@ def decode_frames(streams: DataFrame) -> DataFrame:
     where a length is impossible and the rest of the connection is lost.
     """
 
-    def decode(name: str, data: bytes) -> Iterator[dict]:
+    fields = schemas.REQUEST.names[5:]
+
+    def decode(name: str, data: bytes | None) -> Iterator[tuple]:
         parser, k = FrameParser(), 0
-        for k, (code, request_id, payload) in enumerate(parser.feed(data), 1):
-            fields = parse_request(code, payload)
-            yield {"connection": name, "position": k - 1, "status": "BAD_REQUEST" if fields is None else "OK", "opcode": _OPS.get(code), "request_id": request_id, **(fields or {})}
+        for k, (code, request_id, payload) in enumerate(parser.feed(data or b""), 1):
+            found = parse_request(code, payload)
+            get = (found or {}).get
+            yield name, k - 1, "BAD_REQUEST" if found is None else "OK", _OPS.get(code), request_id, *[get(f) for f in fields]
         if parser.broken:
-            yield {"connection": name, "position": k, "status": "CLOSED"}
+            yield name, k, "CLOSED", None, None, *[None for _ in fields]
 
     return streams.select("connection", "content").mapInArrow(_decoding(schemas.REQUEST, decode), schemas.REQUEST)
 
 
 def read_snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     """Entries of binary snapshots: file, boundary_write_id, key, value (null for a tombstone), version, write_id, tombstone."""
-    schema = "file string, boundary_write_id bigint, key binary, value binary, version bigint, write_id bigint, tombstone boolean"
-    from pyspark.sql.types import _parse_datatype_string
-
-    def decode(name: str, data: bytes) -> Iterator[dict]:
-        boundary, entries = decode_snapshot(data)
+    def decode(name: str, data: bytes | None) -> Iterator[tuple]:
+        boundary, entries = decode_snapshot(data or b"")
         for key, value, version, write_id, tombstone in entries:
-            yield {"file": name, "boundary_write_id": boundary, "key": key, "value": None if tombstone else value, "version": version, "write_id": write_id, "tombstone": tombstone}
+            yield name, boundary, key, None if tombstone else value, version, write_id, tombstone
 
-    parsed = _parse_datatype_string(schema)
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(_decoding(parsed, decode), schema)
+    return files.select("path", "content").mapInArrow(_decoding(schemas.SNAPSHOT_ENTRY, decode), schemas.SNAPSHOT_ENTRY)
 
 
 def pack_segments(log: DataFrame) -> DataFrame:
@@ -227,19 +252,26 @@ def pack_segments(log: DataFrame) -> DataFrame:
     A segment is as large as the limit it was cut by, so its records fit in a row.
     """
     record = binary.encode_record(*[F.col(c) for c in ("op", "write_id", "version", "key", "value")])
-    whole = log.groupBy("shard", "segment").agg(F.array_sort(F.collect_list(F.struct("write_id", record.alias("bytes")))).alias("rows"))
-    content = F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x["bytes"])), ""))
-    whole = whole.select("shard", "segment", content.alias("content"))
-    last = whole.groupBy("shard").agg(F.max("segment").alias("_last")).withColumnRenamed("shard", "_shard")
+    whole = log.select("shard", "segment", "write_id", record.alias("record")).groupBy("shard", "segment").agg(joined("record", "write_id").alias("content"))
+    last = log.groupBy("shard").agg(F.max("segment").alias("_last")).withColumnRenamed("shard", "_shard")
     return whole.join(last, F.col("shard") == F.col("_shard")).select("shard", "segment", "content", (F.col("segment") == F.col("_last")).alias("active"))
 
 
+def joined(part: str, order: str):
+    """Aggregate: the bytes of column ``part``, one row's after the other's in the order of a column."""
+    return F.expr(f"listagg({part}) WITHIN GROUP (ORDER BY {order})")
+
+
 def write_wal(log: DataFrame, root: str) -> DataFrame:
     """Writes a log with ``segment`` as binary segment files below ``root``, and returns (path, bytes) of each.
 
     A file is written beside its place and moved there, so a reader sees whole files, and a task that is run again
-    writes the same ones. ``root`` is a path or URI that Arrow's file systems know and all executors share.
+    writes the same ones. ``root`` is a path or URI that Arrow's file systems know and all executors share; a plain
+    path is one of the machine itself, so only a local session takes it.
     """
+    master = log.sparkSession.sparkContext.master
+    if "://" not in root and not root.startswith("file:") and master != "local" and not master.startswith("local["):
+        raise ValueError("on a cluster the root must be a URI of storage that all executors share")
     name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

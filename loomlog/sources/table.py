@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog import schemas
+from loomlog import schemas, scratch
 from loomlog.functions import hashing
 from loomlog.operators import blocked, layout, oplog, state
 from loomlog.sources import codec
@@ -159,19 +159,20 @@ class ChangeLog:
         durable when its batch is.
         """
         keyed = ops.select("seq", "op", "key", "value")
-        # only entries of the batch's keys are materialized
-        keys = keyed.where(F.col("op") != "GET").select("key").distinct()
-        known = state.recover(self.snapshot().join(keys, "key", "left_semi"), self.boundaries(), self.log().join(keys, "key", "left_semi"))
-        old = known.select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.col("tombstone").alias("_gone"))
-        found = oplog.mutations_with_previous(keyed).join(old, F.col("key") == F.col("_key"), "left")
-        was_live = F.when(F.col("previous").isNotNull(), F.col("previous") == "PUT").otherwise(F.coalesce(~F.col("_gone"), F.lit(False)))
-        found = found.where((F.col("op") == "PUT") | was_live).withColumn("value", F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))))
-        found = oplog.with_versions(found).withColumn("version", F.col("version") + F.coalesce("_version", F.lit(0)))
-        found = oplog.with_write_ids(found.drop("_key", "_version", "_gone", "previous"), self.shards)
-        high = self.last_applied().withColumnsRenamed({"shard": "_shard", "write_id": "_high"})
-        found = found.join(high, F.col("shard") == F.col("_shard"), "left").withColumn("write_id", F.col("write_id") + F.coalesce("_high", F.lit(0)))
+        keys = keyed.where(F.col("op") != "GET").select("key").distinct().withColumn("shard", hashing.shard(F.col("key"), self.shards))
+        known = self._entries_of(keys).select("key", "version", (~F.col("tombstone")).alias("live"))
         done = self.segments()
-        self._publish(found.select(*schemas.OPLOG.names), "log", f"{int(done[-1]) + 1 if done else 1:010d}")
+        self._publish(oplog.build(keyed, self.shards, known, self.last_applied()), "log", f"{int(done[-1]) + 1 if done else 1:010d}")
+
+    def _entries_of(self, keys: DataFrame) -> DataFrame:
+        """Entries of a batch's keys (key, shard), from what may hold them: their shards' folders, and the files with keys in their range."""
+        keys = scratch.written(keys)
+        reach = keys.agg(F.min("key"), F.max("key"), F.collect_set("shard")).first()
+        if reach[0] is None:
+            return self._read("snapshot", [], schemas.STATE)
+        own = F.col("key").between(reach[0], reach[1]) & F.col("shard").isin(reach[2])
+        some = lambda df: df.where(own).join(keys, ["shard", "key"], "left_semi")
+        return state.recover(some(self.snapshot()), self.boundaries(), some(self.log()))
 
     def append_replicated(self, records: DataFrame) -> None:
         """Applies records (shard is worked out anew, arrival, write_id, version, op, key, value) by the replication rule."""

@@ -116,9 +116,24 @@ def test_blocked_windows_equal_plain_ones(spark, width):
                 some = [v for v in before if v is not None]
                 want = {"lag": before[-1] if before else None, "prior_max": max(some, default=None), "prior_sum": sum(some)}[f.__name__]
                 assert got[p, o] == want
-    numbers = {(r["p"], r["o"]): r["x"] for r in blocked.row_number(df, ["p"], "o", "x", width).collect()}
-    for p in ("a", "b", None):
-        assert [numbers[p, o] for o in sorted(o for q, o, _ in rows if q == p)] == list(range(1, sum(q == p for q, _, _ in rows) + 1))
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_the_log_does_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(blocked, "BLOCK", block)
+    ops = random_ops(block, 250, 5)
+    log = oplog.build(frame(spark, ops), 4).collect()
+    want = Store(4)
+    for op in ops:
+        want.apply(*op)
+    assert sorted(map(tuple, log)) == sorted(want.log)
+    assert {r["seq"]: r["status"] for r in oplog.statuses(frame(spark, ops)).collect()} == {q: s for q, (s, _) in want.replies.items() if ops[q][1] != "GET"}
+    # in two batches, the second on what the first has left
+    first, second = frame(spark, ops[:120]), frame(spark, ops[120:])
+    one = oplog.build(first, 4).cache()
+    known = state.materialize(one).select("key", "version", (~F.col("tombstone")).alias("live"))
+    two = oplog.build(second, 4, known, state.boundary(one).withColumnRenamed("boundary_write_id", "write_id"))
+    assert sorted(map(tuple, one.collect() + two.collect())) == sorted(want.log)
 
 
 def test_recovery_skips_up_to_the_boundary_and_counts_what_it_scans(spark):
@@ -166,6 +181,28 @@ def test_segments_and_truncation(spark):
     assert 4 not in {r["segment"] for r in layout.truncatable(cut, everything).collect()}
 
 
+def greedy(sizes, limit):
+    segment, used, out = 1, 0, []
+    for size in sizes:
+        if used and used + size > limit:
+            segment, used = segment + 1, 0
+        used += size
+        out.append(segment)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_segments_by_blocks_equal_the_fold(spark, seed):
+    rng = random.Random(seed)
+    largest, limit = rng.choice([(5, 100), (60, 120), (300, 128), (10, 400)])
+    sizes = {s: [33 + 1 + rng.randrange(largest) for _ in range(rng.choice([1, 40, 90]))] for s in range(4)}
+    rows = [(s, i, "k", "v" * (n - 34)) for s, own in sizes.items() for i, n in enumerate(own, 1)]
+    log = spark.createDataFrame(rows, "shard int, write_id bigint, key string, value string")
+    cut = layout.assign_segments(log, limit, width=rng.choice([1, 4, 16, 1000]), piece=rng.choice([1, 3, 1024])).collect()
+    for s, own in sizes.items():
+        assert [r["segment"] for r in sorted((r for r in cut if r["shard"] == s), key=lambda r: r["write_id"])] == greedy(own, limit)
+
+
 def test_throttle(spark):
     log = spark.createDataFrame([(0, 1, "k", "v" * 9), (0, 2, "k", None), (1, 1, "kk", "vvv")], "shard int, write_id bigint, key string, value string")
     assert {(r["shard"], r["write_id"]): r["done_ms"] for r in layout.throttled(log, 10).collect()} == {(0, 1): 1000, (0, 2): 1100, (1, 1): 500}
