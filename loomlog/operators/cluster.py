@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators import blocked
+from loomlog.operators import blocked, merge
 
 
 def dispatch(role: Column, opcode: Column, outcome: Column, *, term: Column, epoch: Column, shard: Column, shards: int) -> Column:
@@ -83,6 +83,22 @@ def catchup_mode(positions: DataFrame, boundaries: DataFrame) -> DataFrame:
     return found.select("shard", "last_applied", "boundary_write_id", F.when(F.col("last_applied") < F.col("boundary_write_id"), "SNAPSHOT").otherwise("TAIL").alias("mode"))
 
 
+def shipped(snapshot: DataFrame, boundaries: DataFrame, log: DataFrame, positions: DataFrame) -> DataFrame:
+    """What a leader sends to a follower at ``positions`` (shard, last_applied): records (shard, arrival, write_id, version, op, key, value, mode).
+
+    A follower behind the leader's snapshot gets the shard's entries as records, then the log after the boundary;
+    others get the log after their position. Entries must arrive by write_id, or the rule of replication would drop
+    the lower ones: arrival is the write_id, which the tail continues.
+    """
+    modes = boundaries.select("shard", "boundary_write_id").join(positions.select("shard", "last_applied"), "shard", "full_outer")
+    modes = modes.select("shard", F.coalesce("boundary_write_id", F.lit(0)).alias("_from"), F.coalesce("last_applied", F.lit(0)).alias("_at"))
+    behind = F.col("_at") < F.col("_from")
+    entries = merge.entries_to_records(snapshot.join(modes.where(behind).select("shard"), "shard", "left_semi")).withColumn("mode", F.lit("SNAPSHOT"))
+    tail = log.join(modes, "shard", "left").where(F.col("write_id") > F.coalesce(F.when(behind, F.col("_from")).otherwise(F.col("_at")), F.lit(0)))
+    sent = entries.unionByName(tail.select("shard", "write_id", "version", "op", "key", "value", F.lit("TAIL").alias("mode")))
+    return sent.withColumn("arrival", F.col("write_id"))
+
+
 def lag(leader: DataFrame, follower: DataFrame) -> DataFrame:
     """Records of each shard that the follower has not acknowledged."""
     l = leader.groupBy("shard").agg(F.max("write_id").alias("leader_id"))  # noqa: E741

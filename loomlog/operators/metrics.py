@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,9 +43,9 @@ def throughput(events: DataFrame, group: str, at_ms: str) -> DataFrame:
     return found.withColumn("per_second", F.when(F.col("millis") > 0, F.col("n") * 1000.0 / F.col("millis")))
 
 
-def speed_up(before: float, after: float) -> float:
+def speed_up(before: Column, after: Column) -> Column:
     return after / before
 
 
-def dip_percent(before: float, during: float) -> float:
-    return 100.0 * (during - before) / before
+def dip_percent(before: Column, during: Column) -> Column:
+    return F.lit(100.0) * (during - before) / before

@@ -72,6 +72,20 @@ def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("arrival"), (F.col("user_id") % 3).alias("node"), term.cast("long").alias("term"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"))
 
 
+def positions(records: DataFrame) -> DataFrame:
+    """Where followers are: those of even shards at a quarter of the log, the others at three quarters."""
+    at = F.floor(F.max("write_id") * F.when(F.col("shard") % 2 == 0, 1).otherwise(3) / 4)
+    return records.groupBy("shard").agg(at.alias("last_applied"))
+
+
+def node_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests between nodes: the four opcodes in turn, with what they carry; every 50th has a payload that is too short."""
+    turn = F.col("arrival") % 4
+    opcode = F.when(turn == 0, "REPLICATE").when(turn == 1, "CATCHUP_QUERY").when(turn == 2, "HEARTBEAT").otherwise("ELECTION_QUERY")
+    e = cluster_events(spark, sf_dir).where(F.col("term") >= 0)
+    return e.select("arrival", "node", "term", opcode.alias("opcode"), (F.col("arrival") % 10).alias("shard"), F.when(F.col("arrival") % 3 == 0, "DELETE").otherwise("PUT").alias("op"), F.concat(F.lit("k"), F.col("arrival").cast("string")).alias("key"), (F.col("arrival") % 50 == 0).alias("cut"))
+
+
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select((F.col("s_suppkey") + 6380).alias("port"), F.lit(1).cast("long").alias("epoch"), F.floor(F.abs("s_acctbal")).cast("long").alias("total"), (F.col("s_suppkey") % 5 != 0).alias("reachable"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog import schemas, scratch
@@ -142,9 +142,7 @@ def q26_heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def q27_catchup_mode(spark: SparkSession, d: str) -> DataFrame:
     log = bridge.stored_log(spark, d)
-    # followers of even shards are at a quarter of the log, the others at three quarters
-    at = F.floor(F.max("write_id") * F.when(F.col("shard") % 2 == 0, 1).otherwise(3) / 4)
-    return cluster.catchup_mode(log.groupBy("shard").agg(at.alias("last_applied")), bridge.half_boundaries(log))
+    return cluster.catchup_mode(bridge.positions(log), bridge.half_boundaries(log))
 
 
 def q28_replication_lag(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +181,9 @@ def q35_wal_crc(spark: SparkSession, d: str) -> DataFrame:
     return bridge.log(spark, d).select("shard", "write_id", binary.record_crc(*parts).alias("crc32"), F.lower(F.hex(binary.encode_record(*parts))).alias("record"))
 
 
-def _segments(spark: SparkSession, d: str, cut: int) -> DataFrame:
+def _segments_of(log: DataFrame, cut: int) -> DataFrame:
     """Log files of about SEGMENT_BYTES as they would lie on disk; ``cut`` bytes are torn off the active one of each shard."""
-    whole = codec.pack_segments(layout.assign_segments(bridge.stored_log(spark, d), SEGMENT_BYTES))
+    whole = codec.pack_segments(layout.assign_segments(log, SEGMENT_BYTES))
     kept = F.when(F.col("active"), F.substring("content", F.lit(1), F.octet_length("content") - cut)).otherwise(F.col("content"))
     name = F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(F.col("segment")))
     return whole.select(name.alias("segment"), kept.alias("content"), "active")
@@ -193,7 +191,7 @@ def _segments(spark: SparkSession, d: str, cut: int) -> DataFrame:
 
 def q36_wal_decode(spark: SparkSession, d: str) -> DataFrame:
     """The log written as segments, torn by five bytes at each shard's end, and read again."""
-    found = codec.decode_wal(_segments(spark, d, 5))
+    found = codec.decode_wal(_segments_of(bridge.stored_log(spark, d), 5))
     shard = F.regexp_extract("segment", r"shard_(\d+)/", 1).cast("int")
     return found.select(shard.alias("shard"), "write_id", "version", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
@@ -238,6 +236,152 @@ def q40_manifest_rollback(spark: SparkSession, d: str) -> DataFrame:
     return again.state().select("shard", "key", "version", "tombstone")
 
 
+def _catching_up(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log, positions, shipped): a leader with a snapshot at half of each shard, its log cut off there, and followers."""
+    log = bridge.stored_log(spark, d)
+    bounds, at = bridge.half_boundaries(log), bridge.positions(log)
+    tail = log.join(bounds, "shard").where(F.col("write_id") > F.col("boundary_write_id")).drop("boundary_write_id")
+    return log, at, cluster.shipped(bridge.snapshot_at(log, bounds), bounds, tail, at)
+
+
+def q41_catch_up_state(spark: SparkSession, d: str) -> DataFrame:
+    """Followers' state after they caught up: from the snapshot where they were behind it, else from the log alone."""
+    log, at, sent = _catching_up(spark, d)
+    there = log.join(at, "shard").where(F.col("write_id") <= F.col("last_applied")).drop("last_applied")
+    fresh = sent.join(at, "shard").where(F.col("write_id") > F.col("last_applied")).drop("last_applied")
+    came = merge.accept_replicated(scratch.written(fresh))
+    names = ["shard", "write_id", "version", "op", "key", "value"]
+    return state.materialize(there.select(names).unionByName(came.select(names))).select("shard", "key", "value", "version", "write_id", "tombstone")
+
+
+def q42_catch_up_shipped(spark: SparkSession, d: str) -> DataFrame:
+    log, at, sent = _catching_up(spark, d)
+    fresh = F.count_if(F.col("write_id") > F.col("last_applied"))
+    return sent.join(at, "shard").groupBy("shard", "mode").agg(F.count("*").alias("shipped"), fresh.alias("fresh"), F.max("write_id").alias("upto"))
+
+
+def q43_replay_after(spark: SparkSession, d: str) -> DataFrame:
+    """Log files read again after a boundary, the active ones torn."""
+    log = bridge.stored_log(spark, d)
+    after = bridge.half_boundaries(log).select(F.col("shard").alias("_s"), F.col("boundary_write_id").alias("after"))
+    files = _segments_of(log, 5).withColumn("_shard", F.regexp_extract("segment", r"shard_(\d+)/", 1).cast("int"))
+    found = codec.decode_wal(files.join(after, F.col("_shard") == F.col("_s")))
+    return found.select(F.regexp_extract("segment", r"shard_(\d+)/", 1).cast("int").alias("shard"), "write_id", "op", F.col("key").cast("string").alias("key"))
+
+
+def q44_node_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Every request between nodes with its status and the bytes of the response; node 0 leads, the others follow."""
+    found = cluster.fence(bridge.node_requests(spark, d))
+    role = cluster.checked_role(F.when(F.col("node") == 0, "leader").otherwise("follower"))
+    status = cluster.dispatch(role, F.col("opcode"), F.lit(None).cast("string"), term=F.col("term"), epoch=F.col("epoch"), shard=F.col("shard"), shards=8)
+    found = found.select("arrival", "node", "opcode", "epoch", "shard", status.alias("status"))
+    reply = F.when(F.col("opcode") == "CATCHUP_QUERY", binary.encode_last_applied(F.col("arrival") * 3)).when(F.col("opcode") == "ELECTION_QUERY", binary.encode_election_reply(F.col("epoch"), F.col("arrival") * 5))
+    response = binary.encode_response(F.col("status"), F.col("arrival"), binary.status_payload(F.col("status"), reply, F.col("epoch")))
+    return found.select("arrival", "node", "opcode", "status", F.lower(F.hex(response)).alias("response"))
+
+
+def q45_node_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Requests between nodes as bytes, a connection for each node and thousand requests, parsed again."""
+    found = bridge.node_requests(spark, d)
+    opcode, value = F.col("opcode"), F.when(F.col("op") == "PUT", F.lit("v"))
+    payload = (
+        F.when(opcode == "REPLICATE", binary.replicate_payload(F.col("term"), F.col("op"), F.col("arrival") + 1, F.col("shard") + 1, F.col("key"), value))
+        .when(opcode == "CATCHUP_QUERY", binary.catchup_payload(F.col("term"), F.col("shard")))
+        .when(opcode == "HEARTBEAT", binary.unsigned(F.col("term"), 8))
+        .otherwise(F.lit(b""))
+    )
+    payload = F.when(F.col("cut"), F.substring(payload, F.lit(1), F.lit(7))).otherwise(payload)
+    code = F.lit(0)
+    for name, number in binary.OPCODES.items():
+        code = F.when(opcode == name, number).otherwise(code)
+    name = F.concat_ws("/", F.col("node").cast("string"), F.floor(F.col("arrival") / 1000).cast("string"))
+    blobs = found.select(name.alias("connection"), "arrival", binary.encode_frame(code, F.col("arrival"), payload).alias("frame")).groupBy("connection").agg(codec.joined("frame", "arrival").alias("content"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return codec.decode_frames(blobs).select("connection", "position", "status", "opcode", "request_id", "term", "shard", "op", "write_id", "version", text("key"), text("value"))
+
+
+def q46_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads between nodes as columns, and what short replies decode to."""
+    log = bridge.log(spark, d)
+    term, hexed = binary.current_term(F.lit(None)), lambda c, name: F.lower(F.hex(c)).alias(name)
+    reply = binary.decode_election_reply(binary.encode_election_reply(F.col("version"), F.col("write_id")))
+    return log.select(
+        "shard", "write_id", binary.owning_node().alias("owner"),
+        hexed(binary.replicate_payload(term, F.col("op"), F.col("write_id"), F.col("version"), F.col("key"), F.col("value")), "replicate"),
+        hexed(binary.catchup_payload(term, F.col("shard")), "catchup"),
+        binary.decode_last_applied(binary.encode_last_applied(F.col("write_id"))).alias("last_applied"),
+        binary.decode_last_applied(binary.unsigned(F.col("write_id"), 7)).alias("too_short"),
+        reply["epoch"].alias("reply_epoch"), reply["total"].alias("reply_total"),
+    )
+
+
+def q47_keys_lost_with_the_leader(spark: SparkSession, d: str) -> DataFrame:
+    """Acknowledged keys that a survivor with a fortieth of the log does not have."""
+    log = bridge.stored_log(spark, d)
+    upto = log.groupBy("shard").agg(F.floor(F.max("write_id") / 40).alias("upto"))
+    return cluster.missing_keys(log, state.materialize(log.join(upto, "shard").where(F.col("write_id") <= F.col("upto")).drop("upto")))
+
+
+def q48_responses_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and responses by request_id, where every 97th is not answered and every 89th is answered once more, unasked."""
+    asked = bridge.ops(spark, d).select("request_id")
+    answers = asked.where(F.col("request_id") % 97 != 0).unionByName(asked.where((F.col("request_id") > 0) & (F.col("request_id") % 89 == 0)).select((-F.col("request_id")).alias("request_id")))
+    return cluster.match_responses(asked, answers)
+
+
+def q49_table_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """A table of two batches with a snapshot between them: what opening it loads and replays."""
+    ops = bridge.ops(spark, d)
+    half = ops.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    table = ChangeLog(spark, f"{scratch.folder(spark)}/table", 8)
+    table.append(ops.where(F.col("seq") < half))
+    table.take_snapshot()
+    table.append(ops.where(F.col("seq") >= half))
+    counts = table.log().agg(F.count("*").alias("replayed"))
+    return cluster.shards_with_data(table.state()).join(counts).select("shards", F.lit(table.entries_loaded()).cast("long").alias("entries_loaded"), "replayed", F.lit(len(table.segments())).cast("long").alias("segments"))
+
+
+def q50_highest_epoch(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.epoch_at_end(cluster.fence(bridge.cluster_events(spark, d)))
+
+
+def q51_links_after_promotion(spark: SparkSession, d: str) -> DataFrame:
+    peers = bridge.peers(spark, d)
+    return cluster.links_after_promotion(cluster.election(peers, own_port=6380, own_total=20_000, own_epoch=1), peers)
+
+
+def q52_entries_as_records(spark: SparkSession, d: str) -> DataFrame:
+    return merge.entries_to_records(state.materialize(bridge.log(spark, d)))
+
+
+def q53_parse_peers(spark: SparkSession, d: str) -> DataFrame:
+    s = bridge.table(spark, d, "supplier")
+    port = lambda n: (F.col("s_suppkey") + n).cast("string")
+    text = F.concat(F.lit("host-"), F.col("s_suppkey").cast("string"), F.lit(":"), port(6380), F.lit(",,other:"), port(1), F.lit(","))
+    return cluster.parse_peers(s.select(text.alias("peers")))
+
+
+def q54_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Rates by type of event, against that of views."""
+    e = bridge.table(spark, d, "events").select("event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"))
+    found = metrics.throughput(e, "event_type", "at_ms")
+    view = F.max(F.when(F.col("event_type") == "view", F.col("per_second"))).over(Window.partitionBy(F.lit(0)))
+    found = found.withColumn("_view", view)
+    return found.select("event_type", "n", "millis", "per_second", metrics.speed_up(F.col("_view"), F.col("per_second")).alias("speed_up"), metrics.dip_percent(F.col("_view"), F.col("per_second")).alias("dip_percent"))
+
+
+def q55_segment_names(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each shard's log: how many, the first and the active one."""
+    cut = layout.assign_segments(bridge.stored_log(spark, d), SEGMENT_BYTES)
+    name = lambda n: F.concat(binary.shard_dir(F.lit(0), F.col("shard")), F.lit("/"), binary.segment_name(n))
+    found = cut.groupBy("shard").agg(F.count_distinct("segment").alias("segments"), F.min("segment").alias("_low"), F.max("segment").alias("_high"))
+    return found.select("shard", "segments", name(F.col("_low")).alias("lowest"), name(F.col("_high")).alias("active"))
+
+
+def q56_throttled_copy(spark: SparkSession, d: str) -> DataFrame:
+    return layout.throttled(bridge.stored_log(spark, d), RATE).select("shard", "write_id", "done_ms")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 

@@ -67,6 +67,17 @@ _OUTCOMES = f"""outcomes AS (
   UNION ALL SELECT seq, op, CASE WHEN p = 'PUT' THEN 'OK' ELSE 'NOT_FOUND' END FROM mut WHERE op = 'DELETE'
   UNION ALL SELECT seq, 'GET', status FROM reads)"""
 
+_REQUESTS = """rq AS (
+  SELECT *, ['REPLICATE', 'CATCHUP_QUERY', 'HEARTBEAT', 'ELECTION_QUERY'][arrival % 4 + 1] AS opcode, arrival % 10 AS shard, CASE WHEN arrival % 3 = 0 THEN 'DELETE' ELSE 'PUT' END AS op FROM cl WHERE term >= 0)"""
+
+_POSITIONS = """pos AS (SELECT shard, max(write_id) * (CASE WHEN shard % 2 = 0 THEN 1 ELSE 3 END) // 4 AS reached, max(write_id) // 2 AS half FROM log GROUP BY shard)"""
+
+#: CRC-32 of bytes written as hex in a column: a table of 256 words from the polynomial, then a fold.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::BIGINT, range(0, 8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS words)"
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, words[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"""
+_HEX = "lower(hex(encode(coalesce({x}, ''))))"
+
 _READS = """marked AS (
   SELECT *, max(CASE WHEN op <> 'GET' THEN seq END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls FROM valid),
 reads AS (
@@ -143,4 +154,44 @@ def twins() -> dict[str, str]:
         "q38_stream_latest_state": _with(*_TO_LOG, _STATE) + "SELECT key, value, version, tombstone FROM state",
         "q39_stream_replica": _with(*_TO_LOG, _ARRIVALS, _ACCEPTED) + newest("accepted", "shard, key, CASE WHEN op = 'PUT' THEN value END AS value, version, write_id, op = 'DELETE' AS tombstone"),
         "q40_manifest_rollback": _with(*_TO_LOG, _STATE) + "SELECT shard, key, version, tombstone FROM state",
+        "q35_wal_crc": _with(*_TO_LOG, _CRC_TABLE) + f"""SELECT shard, write_id, crc AS crc32, printf('%08x', length(body) // 2 + 4) || body || printf('%08x', crc) AS record FROM (
+            SELECT shard, write_id, body, CAST({_CRC.format(h="body")} AS BIGINT) AS crc FROM (
+              SELECT shard, write_id, printf('%02x%016x%016x%08x%08x', CASE WHEN op = 'PUT' THEN 1 ELSE 2 END, write_id, version, strlen(key), strlen(coalesce(value, ''))) || {_HEX.format(x="key")} || {_HEX.format(x="value")} AS body FROM log) b, crc) x""",
+        "q41_catch_up_state": _with(*_TO_LOG, _STATE) + "SELECT shard, key, value, version, write_id, tombstone FROM state",
+        "q42_catch_up_shipped": _with(*_TO_LOG, _POSITIONS) + """SELECT s.shard AS shard, mode, count(*) AS shipped, count(*) FILTER (write_id > reached) AS fresh, max(write_id) AS upto FROM (
+              SELECT log.shard, max(write_id) AS write_id, 'SNAPSHOT' AS mode FROM log JOIN pos ON log.shard = pos.shard WHERE reached < half AND write_id <= half GROUP BY log.shard, key
+              UNION ALL SELECT log.shard, write_id, 'TAIL' FROM log JOIN pos ON log.shard = pos.shard WHERE write_id > greatest(reached, half)) s
+            JOIN pos ON s.shard = pos.shard GROUP BY s.shard, mode""",
+        "q43_replay_after": _with(*_TO_LOG) + "SELECT shard, write_id, op, key FROM (SELECT *, max(write_id) OVER (PARTITION BY shard) AS m FROM log) WHERE write_id > m // 2 AND write_id < m",
+        "q44_node_dispatch": _with(_CLUSTER, _REQUESTS) + """SELECT arrival, node, opcode, status, printf('%08x%02x%016x', 9 + length(payload) // 2, list_position(['OK', 'NOT_FOUND', 'BAD_REQUEST', 'NOT_LEADER', 'STALE_TERM'], status) - 1, arrival) || payload AS response FROM (
+            SELECT *, CASE WHEN status = 'STALE_TERM' THEN printf('%016x', epoch) WHEN status = 'OK' AND opcode = 'CATCHUP_QUERY' THEN printf('%016x', arrival * 3)
+              WHEN status = 'OK' AND opcode = 'ELECTION_QUERY' THEN printf('%016x%016x', epoch, arrival * 5) ELSE '' END AS payload FROM (
+            SELECT *, CASE WHEN opcode = 'ELECTION_QUERY' THEN 'OK' WHEN opcode = 'REPLICATE' AND node = 0 THEN 'BAD_REQUEST' WHEN opcode = 'CATCHUP_QUERY' AND (node = 0 OR shard >= 8) THEN 'BAD_REQUEST'
+              WHEN term < epoch THEN 'STALE_TERM' ELSE 'OK' END AS status FROM (
+            SELECT *, greatest(1, coalesce(max(term) OVER (PARTITION BY node ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS epoch FROM rq)))""",
+        "q45_node_frames": _with(_CLUSTER, _REQUESTS) + """SELECT node || '/' || arrival // 1000 AS connection, row_number() OVER (PARTITION BY node, arrival // 1000 ORDER BY arrival) - 1 AS position, CASE WHEN bad THEN 'BAD_REQUEST' ELSE 'OK' END AS status, opcode, arrival AS request_id,
+              CASE WHEN NOT bad AND opcode <> 'ELECTION_QUERY' THEN term END AS term, CASE WHEN NOT bad AND opcode = 'CATCHUP_QUERY' THEN shard END AS shard, CASE WHEN NOT bad AND opcode = 'REPLICATE' THEN op END AS op,
+              CASE WHEN NOT bad AND opcode = 'REPLICATE' THEN arrival + 1 END AS write_id, CASE WHEN NOT bad AND opcode = 'REPLICATE' THEN shard + 1 END AS version, CASE WHEN NOT bad AND opcode = 'REPLICATE' THEN 'k' || arrival END AS key,
+              CASE WHEN NOT bad AND opcode = 'REPLICATE' THEN CASE WHEN op = 'PUT' THEN 'v' ELSE '' END END AS value
+            FROM (SELECT *, arrival % 50 = 0 AND opcode <> 'ELECTION_QUERY' AS bad FROM rq)""",
+        "q46_payloads": _with(*_TO_LOG) + f"""SELECT shard, write_id, 'local' AS owner,
+              printf('%016x%02x%016x%016x%08x', 1, CASE WHEN op = 'PUT' THEN 1 ELSE 2 END, write_id, version, strlen(key)) || {_HEX.format(x="key")} || {_HEX.format(x="value")} AS replicate,
+              printf('%016x%016x', 1, shard) AS catchup, write_id AS last_applied, CAST(0 AS BIGINT) AS too_short, version AS reply_epoch, write_id AS reply_total FROM log""",
+        "q47_keys_lost_with_the_leader": _with(*_TO_LOG) + "SELECT key FROM (SELECT *, max(write_id) OVER (PARTITION BY shard) // 40 AS upto FROM log) GROUP BY key HAVING min(write_id - upto) > 0",
+        "q48_responses_matched": """SELECT count(*) AS requests, count(*) FILTER (event_id % 97 <> 0) + count(*) FILTER (event_id > 0 AND event_id % 89 = 0) AS responses,
+            count(*) FILTER (event_id % 97 = 0) AS unanswered, count(*) FILTER (event_id > 0 AND event_id % 89 = 0) AS unasked FROM events""",
+        "q49_table_accounts": _with(*_TO_LOG) + """SELECT count(DISTINCT shard) AS shards, count(DISTINCT key) FILTER (seq < h) AS entries_loaded, count(*) FILTER (seq >= h) AS replayed, CAST(1 AS BIGINT) AS segments
+            FROM log, (SELECT max(event_id) // 2 AS h FROM events)""",
+        "q50_highest_epoch": _with(_CLUSTER) + """SELECT node, greatest(max(term), 1) AS epoch, arg_max(CASE WHEN term < before THEN 'REJECT' WHEN term = before THEN 'ACCEPT' ELSE 'ADOPT' END, arrival) AS last_verdict FROM (
+            SELECT *, greatest(1, coalesce(max(term) OVER (PARTITION BY node ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS before FROM cl) GROUP BY node""",
+        "q51_links_after_promotion": "SELECT s_suppkey + 6380 AS port, CAST(2 AS BIGINT) AS epoch FROM supplier",
+        "q52_entries_as_records": _with(*_TO_LOG) + newest("log", "shard, write_id, version, op, key, CASE WHEN op = 'PUT' THEN value END AS value"),
+        "q53_parse_peers": "SELECT 'host-' || s_suppkey AS host, CAST(s_suppkey + 6380 AS INTEGER) AS port FROM supplier UNION ALL SELECT 'other', CAST(s_suppkey + 1 AS INTEGER) FROM supplier",
+        "q54_throughput": """SELECT event_type, n, millis, per_second, per_second / v AS speed_up, 100.0::DOUBLE * (per_second - v) / v AS dip_percent FROM (
+            SELECT *, max(per_second) FILTER (event_type = 'view') OVER () AS v FROM (
+            SELECT event_type, n, millis, CASE WHEN millis > 0 THEN n * 1000.0::DOUBLE / millis END AS per_second FROM (
+            SELECT event_type, count(*) AS n, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS millis FROM events GROUP BY event_type)))""",
+        "q55_segment_names": _with(*_TO_LOG, _SEGMENTS, recursive=True) + """SELECT shard, max(segment) AS segments, 'shard_' || shard || '/' || lpad(min(segment)::VARCHAR, 10, '0') || '.wal' AS lowest,
+            'shard_' || shard || '/' || lpad(max(segment)::VARCHAR, 10, '0') || '.wal' AS active FROM fold GROUP BY shard""",
+        "q56_throttled_copy": _with(*_TO_LOG) + """SELECT shard, write_id, CAST(sum(strlen(key) + strlen(coalesce(value, ''))) OVER (PARTITION BY shard ORDER BY write_id) AS BIGINT) * 1000 // 50000 AS done_ms FROM log""",
     }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomlog import schemas, scratch
 from loomlog.functions import hashing
-from loomlog.operators import blocked, layout, oplog, state
+from loomlog.operators import blocked, cluster, layout, oplog, state
 from loomlog.sources import codec
 
 
@@ -141,6 +141,10 @@ class ChangeLog:
     def live_count(self) -> int:
         return state.live(self.state()).count()
 
+    def entries_loaded(self) -> int:
+        """Entries of all shards' snapshots."""
+        return self.boundaries().agg(F.coalesce(F.sum("entry_count"), F.lit(0))).first()[0]
+
     def last_applied(self) -> DataFrame:
         """Highest write_id of each shard that has one."""
         both = self.log().select("shard", "write_id").unionByName(self.boundaries().select("shard", F.col("boundary_write_id").alias("write_id")))
@@ -183,6 +187,13 @@ class ChangeLog:
         done = self.segments()
         self._publish(fresh.withColumn("seq", F.col("arrival")).select(*schemas.OPLOG.names), "log", f"{int(done[-1]) + 1 if done else 1:010d}")
 
+    def catch_up(self, leader: ChangeLog) -> None:
+        """Brings this replica up to where a leader of the same layout is: from its snapshot where that is ahead, then from its log."""
+        if leader.shards != self.shards:
+            raise ValueError("positions of other layouts do not compare")
+        at = self.last_applied().withColumnRenamed("write_id", "last_applied")
+        self.append_replicated(cluster.shipped(leader.snapshot(), leader.boundaries(), leader.log(), at))
+
     def take_snapshot(self) -> None:
         """Writes the state of all shards with their boundaries, then drops the segments that it covers."""
         covered, name = self.segments(), f"{int((self._done('snapshot') or ['0'])[-1]) + 1:010d}"

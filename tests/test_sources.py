@@ -184,3 +184,29 @@ def test_entry_stream_goes_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame(part, schemas.OPS).coalesce(1).write.mode("append").parquet(path)
         streams.write_entries(streams.ops_stream(spark, path), out, check)
     assert entries(streams.latest(spark.read.parquet(out))) == expected(ops)
+
+
+def test_a_replica_catches_up_from_a_snapshot_and_from_the_log(spark, tmp_path):
+    ops = random_ops(31, 400, 12)
+    frame = lambda rows: spark.createDataFrame([(q, o, k, v) for q, o, k, v in rows], OPS)
+    leader, replica = ChangeLog(spark, str(tmp_path / "leader"), 4), ChangeLog(spark, str(tmp_path / "replica"), 4)
+    leader.append(frame(ops[:100]))
+    replica.catch_up(leader)  # from the log alone: there is no snapshot
+    assert entries(replica.state()) == entries(leader.state()) == expected(ops[:100], 4)
+    leader.append(frame(ops[100:250]))
+    leader.take_snapshot()
+    leader.append(frame(ops[250:]))
+    replica.catch_up(leader)  # the log that it needs is gone: entries first
+    assert entries(replica.state()) == entries(leader.state()) == expected(ops, 4)
+    replica.catch_up(leader)  # nothing new
+    assert entries(replica.state()) == expected(ops, 4)
+    assert leader.entries_loaded() == len(expected(ops[:250], 4))
+    with pytest.raises(ValueError, match="layouts"):
+        ChangeLog(spark, str(tmp_path / "other"), 3).catch_up(leader)
+
+
+def test_responses_as_bytes_and_as_columns(spark):
+    rows = [("OK", 7, bytearray(b"value")), ("NOT_FOUND", 8, None), ("STALE_TERM", 2**40, bytearray(b"\0" * 8))]
+    got = spark.createDataFrame(rows, "s string, id bigint, p binary").select(binary.encode_response(F.col("s"), F.col("id"), F.col("p")).alias("b")).collect()
+    assert [bytes(r["b"]) for r in got] == [codec.encode_response(s, i, bytes(p or b"")) for s, i, p in rows]
+    assert bytes(got[0]["b"]) == b"\0\0\0\x0e\0" + (7).to_bytes(8, "big") + b"value"
