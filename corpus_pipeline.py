@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from loomlog import scratch
 from loomlog.llm import stages
 
 STAGES = [
@@ -21,11 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; each stage's rows are written to the shared folder and read back for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{stages.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
+    """All stages over all documents; each stage's rows are written to the shared folder and read back for the next, then removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = scratch.folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            scratch.remove(spark, before)
+        before = path
     return docs
