@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import langid, line_dedup, mixing, ngram_join, packing, queries
-from loomlog.llm.common import shared_folder, stable, text_or_empty
+from loomlog.llm.common import stable, text_or_empty
 from loomlog.ship import ship
 
-__all__ = ["language_id", "line_copies", "mix_sources", "near_dedup", "pack", "shared_folder"]
+__all__ = ["language_id", "line_copies", "mix_sources", "near_dedup", "pack"]
 
 _ROW = "_ll_row"
 
