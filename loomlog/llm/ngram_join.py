@@ -273,10 +273,8 @@ def _linking(n: int, threshold: float):
         degree = near.sum(axis=1)
         some = np.flatnonzero(degree)
         t = table["t"].combine_chunks()
-        counts = np.zeros((len(alike), STEPS), dtype=np.int64)
-        a, b = np.nonzero(np.triu(near))
-        np.add.at(counts, (a, _steps(alike[a, b], threshold)), 1)
-        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * STEPS), pa.array(counts[some].ravel()))
+        counts = np.bincount(_steps(alike[np.triu(near)], threshold), minlength=STEPS)
+        counts = pa.array([counts.tolist() if k == 0 else None for k in range(len(some))], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([t.take(pa.array(some)), t.take(pa.array(_roots(near)[some])), pa.array(degree[some].astype(np.int64)), counts], names=["a", "b", "n", "steps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +317,13 @@ def _round(texts: DataFrame, texts_of: DataFrame, depth: int, before: int | None
     else:
         many = stable(map_in_arrow(_units(many, texts_of), _linking(n, threshold), LINKS))
     step = F.least(F.greatest(F.floor((F.col("similarity") - threshold) / max(1 - threshold, 1e-9) * STEPS), F.lit(0)), F.lit(STEPS - 1)).cast("int")
-    counted = few.groupBy(step.alias("step")).agg(F.count("*").alias("n")).unionByName(many.select(F.posexplode("steps").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")))
-    by_step = {r["step"]: r["n"] for r in counted.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    by_row = few.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    # a unit has all its counts in one of its rows
+    by_unit = many.agg(*[F.coalesce(F.sum(F.get("steps", F.lit(k))), F.lit(0)) for k in range(STEPS)]).first()
+    by_step = {r["step"]: r["n"] for r in by_row}
     one = F.lit(1).cast("long").alias("n")
     links = few.select("a", "b", one).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), one)).unionByName(many.select("a", "b", "n"))
-    return links, [by_step.get(k, 0) for k in range(STEPS)]
+    return links, [by_step.get(k, 0) + by_unit[k] for k in range(STEPS)]
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.99999, small: int = SMALL, seed: int = 0) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
