@@ -33,6 +33,17 @@ def workload_mix(ops: DataFrame, read: int, write: int) -> DataFrame:
     return ops.withColumn("op", F.when(roll < read, "GET").when(roll < read + write, "PUT").otherwise("DELETE"))
 
 
+# The key forms of the workloads; a form with a worker names it before the place.
+KEY_FORMS = {"throughput": "c%d-k%d", "concurrency": "t%d-k%d", "rebalance": "pre-k%d", "restore": "key%d"}
+
+
+def workload_keys(ops: DataFrame, form: str, workers: int = 1) -> DataFrame:
+    """Adds ``key`` in a form of KEY_FORMS: rows are dealt to ``workers`` by seq, and a worker's places count from 0."""
+    place = F.floor(F.col("seq") / workers)
+    args = [F.pmod(F.col("seq"), F.lit(workers)), place] if KEY_FORMS[form].count("%d") == 2 else [F.col("seq")]
+    return ops.withColumn("key", F.format_string(KEY_FORMS[form], *args))
+
+
 def mix_counts(ops: DataFrame) -> DataFrame:
     return ops.groupBy("op").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -382,6 +383,23 @@ def q56_throttled_copy(spark: SparkSession, d: str) -> DataFrame:
     return layout.throttled(bridge.stored_log(spark, d), RATE).select("shard", "write_id", "done_ms")
 
 
+def q57_workload_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of each kind of workload: for two workers where the form names one."""
+    ops = bridge.ops(spark, d).select("seq")
+    forms = [metrics.workload_keys(ops, form, 2).withColumn("form", F.lit(form)) for form in metrics.KEY_FORMS]
+    return functools.reduce(DataFrame.unionByName, forms)
+
+
+def q58_table_rebalanced(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table moved from 8 to 3 shards and opened again: what it holds against what was applied."""
+    ops = bridge.ops(spark, d)
+    table = ChangeLog(spark, f"{scratch.folder(spark)}/table", 8)
+    table.append(ops)
+    table.rebalance(3)
+    again = ChangeLog(spark, table.files.root)
+    return layout.lost_and_added(state.materialize(bridge.log(spark, d)), again.state()).withColumns({"shards": F.lit(again.shards), "status": F.lit(table.rebalance_state)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 

@@ -194,4 +194,8 @@ def twins() -> dict[str, str]:
         "q55_segment_names": _with(*_TO_LOG, _SEGMENTS, recursive=True) + """SELECT shard, max(segment) AS segments, 'shard_' || shard || '/' || lpad(min(segment)::VARCHAR, 10, '0') || '.wal' AS lowest,
             'shard_' || shard || '/' || lpad(max(segment)::VARCHAR, 10, '0') || '.wal' AS active FROM fold GROUP BY shard""",
         "q56_throttled_copy": _with(*_TO_LOG) + """SELECT shard, write_id, CAST(sum(strlen(key) + strlen(coalesce(value, ''))) OVER (PARTITION BY shard ORDER BY write_id) AS BIGINT) * 1000 // 50000 AS done_ms FROM log""",
+        "q57_workload_keys": _with(_OPS) + """SELECT seq, form, CASE form WHEN 'throughput' THEN 'c' || seq % 2 || '-k' || seq // 2 WHEN 'concurrency' THEN 't' || seq % 2 || '-k' || seq // 2
+            WHEN 'rebalance' THEN 'pre-k' || seq ELSE 'key' || seq END AS key FROM ops, (VALUES ('throughput'), ('concurrency'), ('rebalance'), ('restore')) f(form)""",
+        "q58_table_rebalanced": _with(_OPS, _MUT, _EFF) + """SELECT count(DISTINCT key) AS before, count(DISTINCT key) AS "after", CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed,
+            CAST(3 AS INTEGER) AS shards, 'done' AS status FROM eff""",
     }

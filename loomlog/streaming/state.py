@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from loomlog import schemas
 from loomlog.operators import oplog
@@ -104,17 +104,29 @@ def write_entries(ops: DataFrame, path: str, checkpoint: str) -> None:
         query.awaitTermination()
 
 
+def _applied_to(records: DataFrame, table: ChangeLog, checkpoint: str) -> DataStreamWriter:
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            table.append_replicated(batch)
+
+    return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+
+
 def follow(records: DataFrame, table: ChangeLog, checkpoint: str) -> None:
     """Feeds a replica from a stream of (arrival, write_id, version, op, key, value), as far as there are records now.
 
     At least once is enough: a record that comes again is at or below the shard's highest write_id and is dropped.
     """
+    _applied_to(records, table, checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        table.append_replicated(batch)
 
-    query = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()
-    query.awaitTermination()
+def tail(records: DataFrame, table: ChangeLog, checkpoint: str, every: str = "20 milliseconds") -> StreamingQuery:
+    """Like :func:`follow`, but goes on until the query that it returns is stopped, looking for new records at each interval.
+
+    A follower that is behind the leader's snapshot catches up first: ``table.catch_up(leader)``; what it then gets
+    a second time is dropped. With the same checkpoint, ``tail`` goes on where it or ``follow`` was stopped.
+    """
+    return _applied_to(records, table, checkpoint).trigger(processingTime=every).start()
 
 
 def ops_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

@@ -176,6 +176,22 @@ def test_replica_takes_duplicates_and_restarts(spark, tmp_path):
     assert replica.log().count() == log.count()
 
 
+def test_a_replica_tails_what_comes(spark, tmp_path):
+    log = oplog.build(spark.createDataFrame(random_ops(15, 200, 10), OPS), 4)
+    records_ = log.withColumn("arrival", F.col("write_id")).select("arrival", "write_id", "version", "op", "key", "value")
+    path, replica = str(tmp_path / "records"), ChangeLog(spark, str(tmp_path / "replica"), 4)
+    records_.where("write_id <= 10").coalesce(1).write.parquet(path)
+    query = streams.tail(spark.readStream.schema(records_.schema).parquet(path), replica, str(tmp_path / "check"))
+    try:
+        query.processAllAvailable()
+        assert replica.log().count() == log.where("write_id <= 10").count()
+        records_.coalesce(1).write.mode("append").parquet(path)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert entries(replica.state()) == entries(state.materialize(log))
+
+
 def test_entry_stream_goes_on_after_a_restart(spark, tmp_path):
     ops = random_ops(14, 120, 6)
     path, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
