@@ -274,7 +274,11 @@ def sample(docs: DataFrame, per_label: int = 250, most_labels: int = 256, seed:
 
 
 def fit(docs: DataFrame, per_label: int = 250, most_labels: int = 256, seed: int = 0) -> Network:
-    """Trains on a bounded :func:`sample`: ``per_label`` documents of each label, ``most_labels`` labels, WINDOWS_EACH windows of a document."""
+    """Trains on a bounded :func:`sample`: ``per_label`` documents of each label, ``most_labels`` labels, WINDOWS_EACH windows of a document.
+
+    Rows without letters or label teach nothing, and of longer texts only these windows do; rows without a doc_id
+    are within the same bounds; repeated rows count once; a table without labels gives a network without labels.
+    """
     rows = sorted((r["lang"], bytes(r["windows"])) for r in sample(docs, per_label, most_labels, seed).collect())
     return train([np.frombuffer(w, dtype=np.uint8).reshape(-1, WINDOW) for _, w in rows], [lang for lang, _ in rows], seed)
 

@@ -425,6 +425,11 @@ def jpeg_features(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores the texts of docs as media and reads them back, with a ``feature`` string."""
+    """Stores the texts of docs as media and reads them back, with a ``feature`` string.
+
+    A null text is an empty one; texts of any length are stored whole, in several images where one is too small; equal
+    texts have equal values, and repeated rows get a row each; other columns of docs, whatever they are called, are
+    not looked at; an empty table gives an empty one.
+    """
     read = jpeg_features(store_jpeg(docs))
     return read.withColumn("feature", F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.col("thumb_hash")))

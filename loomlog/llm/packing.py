@@ -293,5 +293,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    """Tokenizes, cuts and packs documents (null text: empty, which is one end id)."""
+    """Tokenizes, cuts and packs documents (null or empty text: one end id).
+
+    Texts of any length are encoded whole and cut into pieces of ``capacity`` ids; repeated rows and rows without a
+    doc_id are packed each; other columns of docs, whatever they are called, are not looked at; an empty table gives
+    an empty one.
+    """
     return pack(cut_to_pieces(docs, tokenizer_path, capacity), capacity)
