@@ -400,6 +400,18 @@ def q58_table_rebalanced(spark: SparkSession, d: str) -> DataFrame:
     return layout.lost_and_added(state.materialize(bridge.log(spark, d)), again.state()).withColumns({"shards": F.lit(again.shards), "status": F.lit(table.rebalance_state)})
 
 
+def q59_rebalanced_while_written(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table whose new layout is staged halfway through its operations, committed at the end and opened again."""
+    ops = bridge.ops(spark, d)
+    half = ops.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    table = ChangeLog(spark, f"{scratch.folder(spark)}/table", 8)
+    table.append(ops.where(F.col("seq") < half))
+    table.stage_rebalance(6)
+    table.append(ops.where(F.col("seq") >= half))
+    table.commit_rebalance(6)
+    return ChangeLog(spark, table.files.root).state().select("key", "value", "version", "tombstone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 

@@ -198,4 +198,5 @@ def twins() -> dict[str, str]:
             WHEN 'rebalance' THEN 'pre-k' || seq ELSE 'key' || seq END AS key FROM ops, (VALUES ('throughput'), ('concurrency'), ('rebalance'), ('restore')) f(form)""",
         "q58_table_rebalanced": _with(_OPS, _MUT, _EFF) + """SELECT count(DISTINCT key) AS before, count(DISTINCT key) AS "after", CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed,
             CAST(3 AS INTEGER) AS shards, 'done' AS status FROM eff""",
+        "q59_rebalanced_while_written": _with(*_TO_LOG, _STATE) + "SELECT key, value, version, tombstone FROM state",
     }

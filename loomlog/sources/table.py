@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomlog import schemas, scratch
 from loomlog.functions import hashing
-from loomlog.operators import blocked, cluster, layout, oplog, state
+from loomlog.operators import blocked, cluster, layout, merge, oplog, state
 from loomlog.sources import codec
 
 
@@ -85,6 +85,7 @@ class ChangeLog:
             if re.fullmatch(r"gen_\d+", name) and name != self._gen():
                 self.files.remove(name)
         self.rebalance_state = "idle"
+        self._staged: tuple[int, list[str], DataFrame] | None = None
 
     # ---- layout ----
 
@@ -209,10 +210,14 @@ class ChangeLog:
             self.files.remove(f"{self._gen()}/meta/n={old}")
 
     def stage_rebalance(self, shards: int) -> str:
-        """Writes a generation with ``shards`` shards beside the current one; nobody reads it before commit_rebalance()."""
+        """Writes a generation with ``shards`` shards beside the current one; nobody reads it before commit_rebalance().
+
+        It is a copy as of now: the table can be written to meanwhile, and what comes then follows with the commit.
+        """
         if shards < 1:
             raise ValueError("a layout has at least one shard")
         self.rebalance_state = "migrating"
+        self._staged = (shards, self._published(), scratch.written(self.last_applied().withColumnsRenamed({"shard": "_shard", "write_id": "_at"})))
         new = f"gen_{self.generation + 1}"
         base = f"{self.files.root}/{new}"
         layout.reshard(self.state(), shards).select(*schemas.STATE.names).repartition(max(1, min(shards, 4096)), "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/snapshot/n=0000000001")
@@ -221,7 +226,30 @@ class ChangeLog:
         bounds.select(F.lit(self.generation + 1).cast("long").alias("generation"), "shard", "boundary_write_id", "entry_count").write.mode("overwrite").parquet(f"{base}/meta/n=0000000001")
         return new
 
+    def _published(self) -> list[str]:
+        return [*self.segments(), "snapshots", *self._done("snapshot")]
+
+    def _copy_late(self, shards: int, at: DataFrame) -> None:
+        """Entries that changed after the positions ``at`` become the first batch of the staged layout's log.
+
+        They are numbered there like any writes, above what was copied; versions, values and tombstones are kept.
+        """
+        base = f"{self.files.root}/gen_{self.generation + 1}"
+        late = self.state().join(at, F.col("shard") == F.col("_shard"), "left").where(F.col("write_id") > F.coalesce("_at", F.lit(0)))
+        moved = scratch.written(layout.reshard(merge.entries_to_records(late), shards).withColumn("_rid", F.monotonically_increasing_id()))
+        high = self.spark.read.schema(schemas.SNAPSHOT_META).parquet(f"{base}/meta/n=0000000001").select(F.col("shard").alias("_shard"), F.col("boundary_write_id").alias("_high"))
+        placed = blocked.prior_sum(moved, ["shard"], "_rid", F.lit(1), "_n").join(high, F.col("shard") == F.col("_shard"), "left")
+        placed = placed.withColumn("write_id", F.coalesce("_high", F.lit(0)) + F.col("_n") + 1).withColumn("seq", F.col("write_id"))
+        placed.select(*schemas.OPLOG.names).write.mode("overwrite").partitionBy("shard").parquet(f"{base}/log/n=0000000001")
+
     def commit_rebalance(self, shards: int) -> None:
+        """Makes the staged layout the table's, with all that was written since it was staged."""
+        if self._staged is None or self._staged[0] != shards:
+            raise ValueError("no such layout is staged")
+        _, then, at = self._staged
+        if self._published() != then:
+            self._copy_late(shards, at)
+        self._staged = None
         self.rebalance_state = "cutover"
         old = self._gen()
         self.files.replace("MANIFEST", codec.encode_manifest(self.generation + 1, shards))

@@ -162,6 +162,30 @@ def test_rebalance_twice_and_rollback(spark, tmp_path):
         table.rebalance(0)
 
 
+@pytest.mark.parametrize("snapshot", [False, True])
+def test_what_is_written_between_staging_and_commit_is_kept(spark, tmp_path, snapshot):
+    ops = random_ops(16, 400, 25)
+    table = ChangeLog(spark, str(tmp_path / "t"), 4)
+    table.append(spark.createDataFrame(ops[:150], OPS))
+    table.stage_rebalance(6)
+    table.append(spark.createDataFrame(ops[150:250], OPS))
+    if snapshot:
+        table.take_snapshot()  # the log of these writes is gone
+    table.append(spark.createDataFrame(ops[250:300] + [(900, "PUT", "only now", "1")], OPS))
+    with pytest.raises(ValueError, match="staged"):
+        table.commit_rebalance(5)
+    table.commit_rebalance(6)
+    with pytest.raises(ValueError, match="staged"):
+        table.commit_rebalance(6)
+    again = ChangeLog(spark, table.files.root)
+    late = {"only now": ("1", 1, False)}
+    assert again.shards == 6 and entries(again.state()) == expected(ops[:300], 6) | late and again.get("only now") == "1"
+    again.append(spark.createDataFrame(ops[300:], OPS))
+    assert entries(again.state()) == expected(ops, 6) | late
+    ids = [(r["shard"], r["write_id"]) for r in again.log().collect()]
+    assert len(set(ids)) == len(ids)
+
+
 def test_replica_takes_duplicates_and_restarts(spark, tmp_path):
     ops = random_ops(13, 200, 10)
     log = oplog.build(spark.createDataFrame(ops, OPS), 4)
