@@ -104,7 +104,7 @@ class Network:
         p[rows, goal] -= 1
         p /= steps * lanes
         d_inputs, d_recurrent, d_out = [], [], []
-        flat = windows.ravel()
+        flat = windows.ravel().astype(np.intp)
         for side in (0, 1):
             u = self.recurrent[side]
             d_out.append(states[side].reshape(steps * lanes, -1).T @ p)
@@ -118,10 +118,9 @@ class Network:
                 d_u += np.matmul(before.T, pre)
                 d_next = d * z + np.matmul(pre, u.transpose(0, 2, 1)).sum(axis=0)
                 d_g[0, t], d_g[1, t], d_g[2, t] = pre[0], pre[1], d_n
-            d_x = np.zeros_like(self.inputs[side])
-            for k in range(3):
-                np.add.at(d_x[k], flat, d_g[k].reshape(steps * lanes, -1))
-            d_inputs.append(d_x)
+            # sums by byte value, a unit of a gate at a time
+            units = np.ascontiguousarray(d_g.reshape(3, steps * lanes, -1).transpose(0, 2, 1))
+            d_inputs.append(np.array([[np.bincount(flat, unit, 256) for unit in gate] for gate in units], dtype=d_g.dtype).transpose(0, 2, 1))
             d_recurrent.append(d_u)
         return loss, [*d_inputs, *d_recurrent, *d_out, p.sum(axis=0)]
 
