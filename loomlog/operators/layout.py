@@ -53,8 +53,8 @@ def lost_and_added(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-#: write_ids in a block of the fold, and in a piece of a block that finds its segments by itself.
-SEGMENT_BLOCK, SEGMENT_PIECE = 1 << 20, 1 << 10
+#: write_ids in a block of the fold, of which a Python worker holds one at a time, and in a piece of a block that finds its segments by itself.
+SEGMENT_BLOCK, SEGMENT_PIECE = 1 << 16, 1 << 10
 
 
 def assign_segments(log: DataFrame, limit: int, width: int = SEGMENT_BLOCK, piece: int = SEGMENT_PIECE) -> DataFrame:
@@ -107,19 +107,11 @@ def _answering(limit: int):
         for rows in _blocks_of(batches):
             sums = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy(np.int64))])
             n = len(sums) - 1
-            # to the last segment of the block by doubling: begins[i] is a later begin on the way from i, steps[i] segments on
-            begins, steps = np.append(_following(sums, limit), n), np.append(np.ones(n, dtype=np.int64), 0)
-            last = np.arange(n + 1)
-            count = np.zeros(n + 1, dtype=np.int64)
-            hop, hops = begins, steps
-            jumps = []
-            while (hop[:-1] < n).any():
-                jumps.append((hop, hops))
-                hop, hops = hop[hop], hops + hops[hop]
-            for hop, hops in reversed(jumps):
-                go = hop[last] < n
-                count[go] += hops[last[go]]
-                last[go] = hop[last[go]]
+            # to the last segment of the block by doubling: last[i] is a later begin on the way from i, count[i] segments on; the last one leads to itself
+            following = _following(sums, limit)
+            last, count = np.where(following < n, following, np.arange(n)), (following < n).astype(np.int64)
+            while ((hop := last[last]) != last).any():
+                count, last = count + count[last], hop
             used = sums[n] - sums[last]
             # the first segment within the block begins at record j if more than limit - sums[j + 1] bytes come with it
             first = np.flatnonzero((sums[:-1] < limit) | (np.arange(n) == 0))

@@ -1,7 +1,10 @@
 """Change-log operators against the sequential store and the literal cases of the store's rules."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +206,29 @@ def test_segments_by_blocks_equal_the_fold(spark, seed):
         assert [r["segment"] for r in sorted((r for r in cut if r["shard"] == s), key=lambda r: r["write_id"])] == greedy(own, limit)
 
 
+def shard_in_batches(rows, **more):
+    """One shard's sizes as a Python worker gets them, in batches that are made when they are asked for."""
+    for i in range(1, rows + 1, 10_000):
+        ids = np.arange(i, min(i + 10_000, rows + 1))
+        yield pd.DataFrame({"shard": 0, "_block": ids // layout.SEGMENT_BLOCK, "write_id": ids, "bytes": 40 + ids * 7919 % 50} | more)
+
+
+def peak_bytes(made):
+    tracemalloc.start()
+    try:
+        for _ in made:
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("limit", [4096, 1 << 40])
+def test_answers_of_a_larger_shard_need_no_more_memory(limit):
+    small, large = (peak_bytes(layout._answering(limit)(shard_in_batches(n))) for n in (1 << 17, 1 << 20))
+    assert large < 1.2 * small and large < 32 << 20
+
+
 def test_throttle(spark):
     log = spark.createDataFrame([(0, 1, "k", "v" * 9), (0, 2, "k", None), (1, 1, "kk", "vvv")], "shard int, write_id bigint, key string, value string")
     assert {(r["shard"], r["write_id"]): r["done_ms"] for r in layout.throttled(log, 10).collect()} == {(0, 1): 1000, (0, 2): 1100, (1, 1): 500}
