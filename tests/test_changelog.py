@@ -206,11 +206,11 @@ def test_segments_by_blocks_equal_the_fold(spark, seed):
         assert [r["segment"] for r in sorted((r for r in cut if r["shard"] == s), key=lambda r: r["write_id"])] == greedy(own, limit)
 
 
-def shard_in_batches(rows, **more):
+def shard_in_batches(rows):
     """One shard's sizes as a Python worker gets them, in batches that are made when they are asked for."""
     for i in range(1, rows + 1, 10_000):
         ids = np.arange(i, min(i + 10_000, rows + 1))
-        yield pd.DataFrame({"shard": 0, "_block": ids // layout.SEGMENT_BLOCK, "write_id": ids, "bytes": 40 + ids * 7919 % 50} | more)
+        yield pd.DataFrame({"shard": 0, "_block": ids // layout.SEGMENT_BLOCK, "write_id": ids, "bytes": 40 + ids * 7919 % 50})
 
 
 def peak_bytes(made):
@@ -229,6 +229,23 @@ def test_answers_of_a_larger_shard_need_no_more_memory(limit):
     assert large < 1.2 * small and large < 32 << 20
 
 
+def test_places_in_a_larger_shard_need_no_more_memory():
+    def placed(rows, limit=4096):
+        begins = pd.concat(layout._chaining(layout._answering(limit)(shard_in_batches(rows)))).set_index("_block")
+        known = (batch.assign(segment=begins["segment"].loc[batch["_block"]].to_numpy(), used=begins["used"].loc[batch["_block"]].to_numpy()) for batch in shard_in_batches(rows))
+        return layout._placing(limit, layout.SEGMENT_PIECE)(known)
+
+    small, large = peak_bytes(placed(1 << 17)), peak_bytes(placed(1 << 20))
+    assert large < 1.2 * small and large < 32 << 20
+
+
+def test_segments_over_blocks_of_the_default_width(spark):
+    rows, limit = 3 * layout.SEGMENT_BLOCK + 5, 4096
+    log = spark.range(1, rows + 1).select(F.lit(0).alias("shard"), F.col("id").alias("write_id"), F.lit("k").alias("key"), F.expr("repeat('v', cast(id * 7919 % 50 as int))").alias("value"))
+    cut = layout.assign_segments(log, limit).select("write_id", "segment").toPandas().sort_values("write_id")
+    assert cut["segment"].tolist() == greedy([34 + i * 7919 % 50 for i in range(1, rows + 1)], limit)
+
+
 def test_throttle(spark):
     log = spark.createDataFrame([(0, 1, "k", "v" * 9), (0, 2, "k", None), (1, 1, "kk", "vvv")], "shard int, write_id bigint, key string, value string")
     assert {(r["shard"], r["write_id"]): r["done_ms"] for r in layout.throttled(log, 10).collect()} == {(0, 1): 1000, (0, 2): 1100, (1, 1): 500}
